@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,10 +36,12 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, f"{top.name}.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(path)
+    # Spark serves the file from here for as long as the application runs.
+    folder = os.path.realpath(tempfile.mkdtemp(prefix=f"{top.name}-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{top.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
