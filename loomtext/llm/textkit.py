@@ -1,7 +1,7 @@
 """Vectorised byte-level text kernels shared by the operators of this subpackage.
 
 Texts reach Python as Arrow string arrays; everything here works on their
-UTF-8 buffer with numpy, a few megabytes at a time, so a worker's memory does
+UTF-8 buffer with numpy, half a megabyte at a time, so a worker's memory does
 not depend on how many rows Spark puts into a batch.
 
 A *word* is a run of bytes matching ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
