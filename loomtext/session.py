@@ -32,6 +32,8 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g", n
 
 def ship(spark: SparkSession) -> None:
     """Hands this package to the executors once per application, for those that can't import it."""
+    # Rows can be whole documents: small batches bound the memory of both sides.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
