@@ -8,7 +8,8 @@ rare, so that a few copies of a text don't outweigh its edits.
 1. *Document frequencies.* Only shingles in at least 1 of ``RARE`` documents
    need theirs. Each slice of the corpus reports the shingles that are that
    frequent in it; sums over all slices miss a frequency by at most a quarter of
-   the limit. No more than RARE times the mean number of shingles of a document
+   the limit (in slices of under 1,200 documents, by what is in fewer than three
+   of them). No more than RARE times the mean number of shingles of a document
    can be frequent, whatever the size of the corpus: that table is broadcast.
 2. *Samples.* Improved consistent weighted sampling, one sample in each of
    ``BANDS * ROWS`` bins into which shingles are hashed; an empty bin borrows
@@ -234,7 +235,7 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Per document: doc_id, class_id, n_links (verified links of its text to others), t (a hash of its text), s1 and s2 (its shingles' key)."""
+    """Per document: doc_id, class_id, n_links (verified links of its text to others), t (a hash of its text), root (tells classes apart, also those of one doc_id)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     idf = weights(docs)
     signed = scratch.written(docs.mapInArrow(partial(_signed, weights=idf), SIGNED), "signed")
@@ -278,8 +279,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     inside = texts.select(F.struct("s1", "s2").alias("x"), "low").join(known, "x", "left").join(degree, "x", "left").select("x", "low", F.coalesce("root", "x").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     inside = scratch.written(inside, "inside")
     tops = inside.groupBy("root").agg(F.min("low").alias("class_id"))
-    table = inside.join(tops, "root").select("x.s1", "x.s2", "class_id", "n_links")
-    return signed.select("doc_id", "t", "s1", "s2").join(table, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "t", "s1", "s2")
+    table = inside.join(tops, "root").select("x.s1", "x.s2", "class_id", "n_links", "root")
+    return signed.select("doc_id", "t", "s1", "s2").join(table, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "t", "root")
 
 
 def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +301,8 @@ def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs with one of each class, the one with the smallest doc_id; of repeated rows, one."""
     found = classes(docs, least)
-    found = scratch.written(found.select(_id("doc_id").alias("_id"), "t", F.coalesce("class_id", "s1").alias("class"), F.col("class_id").isNull().alias("no_id")), "classes")
-    first = found.groupBy("class", "no_id").agg(F.min(F.struct("_id", "t")).alias("r")).select("r._id", F.col("r.t").alias("_t"))
+    found = scratch.written(found.select(_id("doc_id").alias("_id"), "t", "root"), "classes")
+    first = found.groupBy("root").agg(F.min(F.struct("_id", "t")).alias("r")).select("r._id", F.col("r.t").alias("_t"))
     kept = docs.withColumns({"_id": _id("doc_id"), "_t": F.xxhash64(F.coalesce("text", F.lit("")))}).join(first, ["_id", "_t"], "left_semi").drop("_id", "_t")
     twice = found.groupBy("_id", "t").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if twice else kept
