@@ -9,8 +9,8 @@ generalises over the labellers' thresholds and judges all documents. A document
 is kept if its log-odds by the scorer and by its own weak label (at most 4 to
 either side) add up to 0 or more.
 
-The scorer is fitted on at most ``SAMPLE`` documents, the first in the order of
-a hash of their texts; counts, votes and scores cover every document, whole.
+The scorer is fitted on at most ``SAMPLE`` different texts, the first in the order
+of a hash of them; counts, votes and scores cover every document, whole.
 Null texts read as empty. A text without words gets no votes, score 0 and is
 rejected. Repeated rows are judged alike. An empty table gives an empty result.
 Other columns are not read; rows that are kept keep all of theirs.
@@ -164,12 +164,12 @@ def posterior(patterns: np.ndarray, prior: float, p: np.ndarray) -> np.ndarray:
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by accelerated gradient steps."""
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb = w.copy(), 0.0
     if not len(x):
         return w, b
-    rate = 4.0 / max(float((x * x).sum(axis=1).mean()) + 1, 1.0)
+    rate = 4.0 / (float(np.einsum("ij,ij->", x, x)) / len(x) + 1)
     for _ in range(rounds):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
         g = 1 / (1 + np.exp(-np.clip(x @ lw + lb, -35, 35))) - y
@@ -222,11 +222,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = text.mapInArrow(_patterns, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.array(rows["n"].to_pylist(), float)
     prior, p = estimate(decode(rows["code"].to_pylist() or np.zeros(0)), counts)
-    chosen = text.where("text <> ''")
-    least = chosen.select(F.xxhash64("text").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    few = chosen.where(F.xxhash64("text") <= F.lit(least)).mapInArrow(_features, "code int, x binary").limit(2 * sample).toArrow() if least is not None else None
-    x = np.frombuffer(b"".join(few["x"].to_pylist()), np.float32).reshape(-1, SIZE) if few else np.zeros((0, SIZE), np.float32)
-    y = posterior(decode(few["code"].to_pylist() if few else np.zeros(0)), prior, p)
+    chosen = text.where("text <> ''").withColumn("h", F.xxhash64("text"))
+    least = chosen.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    few = chosen.where(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).mapInArrow(_features, "code int, x binary").toArrow() if least is not None else None
+    codes = np.array(few["code"].to_pylist(), np.int64) if few else np.zeros(0, np.int64)
+    x = np.empty((len(codes), SIZE), np.float32)
+    at = 0
+    for chunk in few["x"].chunks if few else ():
+        data, off = buffers(chunk)
+        x[at : at + len(off) - 1] = data.view(np.float32).reshape(-1, SIZE)
+        at += len(off) - 1
+    few = None
+    y = posterior(decode(codes), prior, p)
     w, b = train(x, y)
     return Model(prior, p, w, b)
 
