@@ -16,11 +16,15 @@ rare, so that a few copies of a text don't outweigh its edits.
    from a full one that a hash chooses. Two texts agree in a bin with a
    probability of their weighted Jaccard similarity.
 3. *Links.* Documents that agree in all bins of a band meet. Texts with the same
-   shingles are one before that. In each bucket every document is linked to the
-   smallest and to its predecessor, never all pairs; the second kind is only
-   needed, and only verified, between classes that the first leaves apart.
+   shingles are one before that. In each bucket every document is first compared
+   with the smallest. Then every two that meet and are of different classes so
+   far are compared, in the first band where they meet: the texts of a bucket
+   fall into blocks, and each two blocks that aren't of one class are a unit of
+   work, so that a crowded bucket spreads over many tasks.
 4. *Verification* with the weighted Jaccard similarity of the whole multisets,
-   then classes as connected components, by joins that halve distances.
+   then classes as connected components, by joins that halve distances. The
+   classes are those of all verified pairs that meet; pairs inside a class that
+   the first comparison made are not counted as links.
 
 Null texts read as empty. Texts without words are alike only if equal: a class
 each by text. Equal texts of repeated rows, equal or null ids are one class. The
@@ -35,7 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -47,6 +51,8 @@ BANDS, ROWS = 20, 4
 IDF_PART, RARE = 0.25, 100
 #: Shingles that a task counts at once for their document frequencies.
 COUNTED = 2_000_000
+#: Texts of a bucket in a block, about.
+BLOCK = 64
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,9 +214,75 @@ def _verified(batches: Iterator[pa.RecordBatch], weights: Weights, least: float)
         yield out.select(["a1", "a2", "b1", "b2"])
 
 
+def _linked(rows: list[dict], weights: Weights, least: float) -> pa.RecordBatch:
+    """The alike of two blocks (sides 0 and 1), or inside one (side 0 only), of different roots, that meet in no earlier band."""
+    sets = [_unpack(r["shingles"]) for r in rows]
+    n, size, band = len(rows), np.array([len(h) for h, _ in sets]), rows[0]["band"]
+    h, row = np.concatenate([h for h, _ in sets]), np.repeat(np.arange(n), size)
+    w = weights.of(h, np.concatenate([c for _, c in sets]))
+    total, first = np.bincount(row, w, n), np.append(0, np.cumsum(size))
+    order = np.argsort(h, kind="stable")
+    _, group, many = np.unique(h, return_inverse=True, return_counts=True)
+    start = np.cumsum(many) - many
+    row_o, w_o = row[order], w[order]
+    side, keys = np.array([r["side"] for r in rows]), np.array([r["keys"][:band] for r in rows], np.int64).reshape(n, band)
+    x, root = np.array([(r["s1"], r["s2"]) for r in rows]), np.array([(r["r1"], r["r2"]) for r in rows])
+    crossed, place, out = bool(side.any()), np.arange(n), []
+    for i in range(n):
+        other = (side > side[i] if crossed else place > i) & (root != root[i]).any(axis=1) & ~(keys == keys[i]).any(axis=1)
+        other &= np.minimum(total, total[i]) >= least * np.maximum(total, total[i]) - 1e-9
+        if not other.any():
+            continue
+        g = group[first[i] : first[i + 1]]
+        k = many[g]
+        at = np.repeat(start[g] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        top = np.bincount(row_o[at], np.minimum(w_o[at], np.repeat(w[first[i] : first[i + 1]], k)), n)
+        j = np.flatnonzero(other & (top >= least * (total + total[i] - top) - 1e-9))
+        out.append(np.hstack([np.broadcast_to(x[i], (len(j), 2)), x[j]]))
+    found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a1", "a2", "b1", "b2"])
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], weights: Weights, least: float) -> Iterator[pa.RecordBatch]:
+    """Links between blocks; the rows of two blocks stand together."""
+    held, now = [], None
+    for part in slices(batches, "shingles"):
+        for r in part.to_pylist():
+            if held and (r["band"], r["work"]) != now:
+                yield _linked(held, weights, least)
+                held = []
+            now = r["band"], r["work"]
+            held.append(r)
+    if held:
+        yield _linked(held, weights, least)
+
+
+def _works(placed: DataFrame) -> DataFrame:
+    """For rows (band, key, x, root): band, work, side, x, root, so that any two texts of a bucket with different roots meet in one work."""
+    kin = placed.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
+    sizes = kin.groupBy("band", "key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("c") < BLOCK, F.col("c"))).alias("few")).where("roots > 1")
+    kin = kin.join(sizes, ["band", "key"])
+    # A large class has blocks of its own, small classes share some.
+    large = F.col("c") >= BLOCK
+    piece = F.when(large, F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / BLOCK))).otherwise(-1 - F.pmod(F.xxhash64("root"), F.ceil(F.col("few") / BLOCK)))
+    own = [F.when(large, F.col(f"root.{s}")).otherwise(0).alias(s) for s in ("s1", "s2")]
+    blocks = scratch.written(placed.join(kin, ["band", "key", "root"]).select("band", "key", "x", "root", F.struct(*own, piece.alias("piece")).alias("block")), "blocks")
+    ends = blocks.groupBy("band", "key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    a = ends.select("band", "key", F.col("block").alias("l"), F.col("low").alias("l_low"), F.col("high").alias("l_high"))
+    b = ends.select("band", "key", F.col("block").alias("r"), F.col("low").alias("r_low"), F.col("high").alias("r_high"))
+    two = a.join(b, ["band", "key"]).where("l <= r and not (l_low = l_high and r_low = r_high and l_low = r_low)")
+    two = two.select("band", "key", "l", "r", F.xxhash64("band", "key", "l", "r").alias("work"))
+    sides = two.select("band", "key", "work", F.col("l").alias("block"), F.lit(0).alias("side")).union(two.where("l <> r").select("band", "key", "work", F.col("r").alias("block"), F.lit(1).alias("side")))
+    return blocks.join(sides, ["band", "key", "block"]).select("band", "work", "side", "x", "root")
+
+
 _PAIR = "a1 long, a2 long, b1 long, b2 long"
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.expr("named_struct('s1', a1, 's2', a2)").alias("a"), F.expr("named_struct('s1', b1, 's2', b2)").alias("b"))
+
+
 def components(links: DataFrame, name: str = "component") -> DataFrame:
     """Connected components of links (a, b), structs that can be ordered: (node, root), the smallest node of each. Rounds of joins until nothing changes."""
     edges = scratch.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -246,9 +318,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     stars = scratch.written(met.where("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct(), "stars")
     # Shingles of the texts that met others, once each.
     node = met.select("x.*").distinct()
-    one = signed.join(node, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct(_id("doc_id").alias("id"))).alias("r")).select("s1", "s2", "r.id")
+    one = signed.join(node, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(_id("doc_id")).alias("id"), F.first("keys").alias("keys"))
     text = docs.withColumn("id", _id("doc_id")).select("id", "text")
-    sets = text.join(one, "id").select("s1", "s2", "text").mapInArrow(_keyed_sets, "s1 long, s2 long, t1 long, t2 long, shingles binary").where("s1 = t1 and s2 = t2").select("s1", "s2", "shingles")
+    sets = text.join(one, "id").select("s1", "s2", "keys", "text").mapInArrow(_keyed_sets, "s1 long, s2 long, keys array<long>, t1 long, t2 long, shingles binary").where("s1 = t1 and s2 = t2").select("s1", "s2", "keys", "shingles")
     sets = scratch.written(sets.dropDuplicates(["s1", "s2"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -257,20 +329,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         flat = pairs.select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("b.s1").alias("b1"), F.col("b.s2").alias("b2"))
         both = flat.join(right.hint("shuffle_merge"), ["b1", "b2"]).join(left.hint("shuffle_merge"), ["a1", "a2"])
         ok = both.select("a1", "a2", "b1", "b2", "sa", "sb").mapInArrow(partial(_verified, weights=idf, least=least), _PAIR)
-        return ok.select(F.expr("named_struct('s1', a1, 's2', a2)").alias("a"), F.expr("named_struct('s1', b1, 's2', b2)").alias("b"))
+        return _ends(ok)
 
     sure = scratch.written(verify(stars), "links")
     roots = components(sure)
-    # What the stars left apart: neighbours in a bucket, of different classes so far.
-    side = Window.partitionBy("band", "key").orderBy("root", "x")
-    placed = met.join(roots, met["x"] == roots["node"], "left").select("band", "key", "x", F.coalesce("root", "x").alias("root"), "least")
-    reps = placed.groupBy("band", "key", "root").agg(F.min("x").alias("x"), F.max("x").alias("y"))
-    apart = reps.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    reps = reps.join(apart, ["band", "key"], "left_semi")
-    chain = reps.select("x", "y", F.lag("x").over(side).alias("p"), F.lag("y").over(side).alias("q")).where("p is not null")
-    pairs = chain.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("x").alias("b")), F.struct(F.col("q").alias("a"), F.col("y").alias("b")))).alias("z")).select("z.*").distinct()
-    pairs = scratch.written(pairs.join(stars, ["a", "b"], "left_anti"), "chains")
-    more = scratch.written(verify(pairs), "links")
+    # What the stars left apart: any two texts of a bucket that are of different classes so far.
+    placed = scratch.written(met.join(roots, met["x"] == roots["node"], "left").select("band", "key", "x", F.coalesce("root", "x").alias("root")), "placed")
+    works = _works(placed).select("band", "work", "side", "x.s1", "x.s2", F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2")).join(sets.hint("shuffle_merge"), ["s1", "s2"])
+    works = works.repartition("band", "work").sortWithinPartitions("band", "work")
+    more = scratch.written(_ends(works.mapInArrow(partial(_crossed, weights=idf, least=least), _PAIR)), "links")
     links = sure.union(more)
     if more.limit(1).count():
         roots = components(links)
@@ -295,7 +362,7 @@ def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(pa.array(s.view(np.int64)))
         cut = np.searchsorted(text, np.arange(1, n))
         rows = [a.tobytes() + b.astype(np.uint32).tobytes() for a, b in zip(np.split(h, cut), np.split(count, cut))]
-        yield pa.RecordBatch.from_arrays([column(part, "s1"), column(part, "s2"), *keys, pa.array(rows, pa.binary())], ["s1", "s2", "t1", "t2", "shingles"])
+        yield pa.RecordBatch.from_arrays([column(part, "s1"), column(part, "s2"), column(part, "keys"), *keys, pa.array(rows, pa.binary())], ["s1", "s2", "keys", "t1", "t2", "shingles"])
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -440,6 +440,23 @@ def test_classes_against_brute_force(spark):
     assert sum(a for a, b in found if b) >= 0.97 * sum(b for _, b in found)
 
 
+def test_alike_texts_of_crowded_buckets_meet(spark):
+    # Texts of a form that share little else; the two with the shortest remainders alone are alike.
+    texts = []
+    for f in range(6):
+        form = [f"form{f}x{k}" for k in range(300)]
+        texts += [" ".join(form + [f"own{f}x{k}x{i}" for i in range(16 if k < 2 else 60)]) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
+    known = near_dup.weights(docs)
+    text, h, count = near_dup.shingles(pa.array(texts))
+    sets = [dict(zip(h[text == i].tolist(), known.of(h[text == i], count[text == i]).tolist())) for i in range(400)]
+    alike = {(i, j) for i, j in itertools.combinations(range(200), 2) if near_dup.similarity(sets[i], sets[j]) >= near_dup.SIMILARITY}
+    assert alike == {(0, 1)}
+    assert [got[k] == got[k + 1] for k in range(0, 1200, 200)] == [True] * 6
+    assert len(set(got.values())) == 1194
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 2**63, 400, dtype=np.uint64)
