@@ -11,10 +11,12 @@ rare, so that a few copies of a text don't outweigh its edits.
    the limit (in slices of under 1,200 documents, by what is in fewer than three
    of them). No more than RARE times the mean number of shingles of a document
    can be frequent, whatever the size of the corpus: that table is broadcast.
-2. *Samples.* Improved consistent weighted sampling, one sample in each of
-   ``BANDS * ROWS`` bins into which shingles are hashed; an empty bin borrows
-   from a full one that a hash chooses. Two texts agree in a bin with a
-   probability of their weighted Jaccard similarity.
+2. *Samples.* Consistent weighted sampling, ``BANDS * ROWS`` samples of the whole
+   text. A weight is a number of copies of a shingle, each of a weight that is
+   the same in all texts; a copy's clock runs down exponentially at the rate of
+   that weight, and the first is the sample. Two texts agree in a sample with a
+   probability of their weighted Jaccard similarity, exactly, however uneven the
+   weights are, and independently of other samples.
 3. *Links.* Documents that agree in all bins of a band meet. Texts with the same
    shingles are one before that. In each bucket every document is first compared
    with the smallest. Then every two that meet and are of different classes so
@@ -92,38 +94,23 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return (mix(h + _salt(salt)) >> np.uint64(11)).astype(np.float64) * 2**-53 + 2**-54
 
 
-def samples(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, bins: int = BANDS * ROWS) -> np.ndarray:
-    """Per text a sample of each bin, as one 64-bit number; texts without shingles have zeros."""
-    out = np.zeros((n, bins), np.uint64)
+def samples(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, draws: int = BANDS * ROWS, count: np.ndarray | None = None) -> np.ndarray:
+    """Per text so many samples of all its shingles, each as one 64-bit number; texts without shingles have zeros. text: ascending. weight: of a copy, the same to the bit in all texts. count: copies, 1 each if not given."""
+    out = np.zeros((n, draws), np.uint64)
     if not len(h):
         return out
-    # Improved consistent weighted sampling: r and c are Gamma(2, 1), beta uniform.
-    r = -np.log(_uniform(h, 1) * _uniform(h, 2))
-    c = -np.log(_uniform(h, 3) * _uniform(h, 4))
-    beta = _uniform(h, 5)
-    t = np.floor(np.log(weight) / r + beta)
-    score = np.log(c) - r * (t - beta) - r  # log of c / (y * exp(r))
-    cell = text * bins + (mix(h + _salt(6)) % np.uint64(bins)).astype(np.int64)
-    order = np.lexsort((h, score, cell))
-    cell_o = cell[order]
-    best = order[np.append(True, cell_o[1:] != cell_o[:-1])]
-    token = mix(h[best] + t[best].astype(np.int64).view(np.uint64) * BASE)
-    full = np.zeros(n * bins, bool)
-    flat = out.reshape(-1)
-    flat[cell[best]] = token
-    full[cell[best]] = True
-    # Empty bins borrow from full ones, at a bin that depends on the bin and the attempt alone.
-    full = full.reshape(n, bins)
-    some = full.any(axis=1)
-    empty = np.flatnonzero((~full & some[:, None]).ravel())
-    attempt = 0
-    while empty.size:
-        attempt += 1
-        row, col = empty // bins, empty % bins
-        donor = (mix(col.astype(np.uint64) * BASE + np.uint64(1000 + attempt)) % np.uint64(bins)).astype(np.int64)
-        ok = full[row, donor]
-        out[row[ok], col[ok]] = out[row[ok], donor[ok]]
-        empty = empty[~ok]
+    at = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    if count is None:
+        copy, rate, first = h, weight, at
+    else:
+        begin = np.cumsum(count) - count
+        nth = np.arange(count.sum()) - np.repeat(begin, count)
+        copy, rate, first = mix(np.repeat(h, count) + nth.astype(np.uint64) * BASE), np.repeat(weight, count), begin[at]
+    scale = -1 / rate
+    for k in range(draws):
+        # A clock tells its copy: others show the same time with a probability of about 2**-53.
+        clock = np.minimum.reduceat(np.log(_uniform(copy, 1001 + k)) * scale, first)
+        out[text[at], k] = mix(clock.view(np.uint64))
     return out
 
 
@@ -179,8 +166,7 @@ def _signed(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.
         texts = column(part, "text")
         text, h, count = shingles(texts)
         n = part.num_rows
-        w = weights.of(h, count)
-        keys = bands(samples(text, h, w, n)).view(np.int64)
+        keys = bands(samples(text, h, weights.of(h, np.ones(len(h))), n, count=count)).view(np.int64)
         # Sums over distinct shingles don't depend on their order.
         both = []
         data, off = buffers(texts)

@@ -468,6 +468,25 @@ def test_samples_agree_as_often_as_texts_are_alike():
     assert abs((got[0] == got[1]).mean() - true) < 0.1
 
 
+@pytest.mark.parametrize("shared, often, own", [(40, 50, 200), (12, 30, 40), (8, 200, 150), (300, 1, 30)])
+def test_uneven_counts_agree_as_often_as_texts_are_alike(shared, often, own):
+    rng = np.random.default_rng(shared)
+    met, agreed, trials, more = 0, 0.0, 60, often + often // 50
+    for _ in range(trials):
+        h = rng.integers(1, 2**63, shared + 2 * own, dtype=np.uint64)
+        sides = [np.append(h[:shared], h[shared + k * own : shared + (k + 1) * own]) for k in (0, 1)]
+        count = np.concatenate([np.append(np.full(shared, k), np.ones(own, int)) for k in (often, more)])
+        weight = near_dup.Weights(np.zeros(0, np.uint64), np.zeros(0)).of(np.concatenate(sides), np.ones(len(count)))
+        got = near_dup.samples(np.repeat([0, 1], shared + own), np.concatenate(sides), weight, 2, count=count)
+        keys = near_dup.bands(got)
+        met += bool((keys[0] == keys[1]).any())
+        agreed += (got[0] == got[1]).mean() / trials
+    true = shared * often / (shared * more + 2 * own)
+    assert true >= near_dup.SIMILARITY
+    assert abs(agreed - true) < 0.03
+    assert met == trials
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dup.classes(odd).select("doc_id", "class_id", "n_links").collect()
     assert len(got) == len(TEXTS)
