@@ -5,11 +5,11 @@ A shingle weighs its count times an inverse document frequency, ``1 + IDF_PART *
 ln(min(N / df, RARE))``: shingles in under 1 of ``RARE`` documents all count as
 rare, so that a few copies of a text don't outweigh its edits.
 
-1. *Document frequencies.* Only shingles in at least 1 of ``RARE`` documents
-   need theirs. Each slice of the corpus reports the shingles that are that
-   frequent in it; sums over all slices miss a frequency by at most a quarter of
-   the limit (in slices of under 1,200 documents, by what is in fewer than three
-   of them). No more than RARE times the mean number of shingles of a document
+1. *Document frequencies*, exact. Only shingles in more than 1 of ``RARE``
+   documents need theirs. A first pass counts documents by cell of a hash, all
+   of them; a frequent shingle's cell counts as much as it does, at least. A
+   second pass counts the shingles of such cells, and the cut applies to the
+   totals. No more than RARE times the mean number of shingles of a document
    can be frequent, whatever the size of the corpus: that table is broadcast.
 2. *Samples.* Consistent weighted sampling, ``BANDS * ROWS`` samples of the whole
    text. A weight is a number of copies of a shingle, each of a weight that is
@@ -51,8 +51,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 IDF_PART, RARE = 0.25, 100
-#: Shingles that a task counts at once for their document frequencies.
+#: Shingles that a task holds before it adds up their document frequencies.
 COUNTED = 2_000_000
+#: Cells of the first count, and those in a row of it.
+CELLS, CHUNK = 1 << 20, 1 << 12
 #: Texts of a bucket in a block, about.
 BLOCK = 64
 
@@ -130,31 +132,60 @@ def similarity(a: dict[int, float], b: dict[int, float]) -> float:
     return top / total if total else 1.0
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that are frequent among the texts counted at once, with their counts."""
-    held, docs, size = [], 0, 0
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (mix(h + _salt(7)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by cell of their shingles, as chunks of the counts."""
+    total = np.zeros(CELLS, np.int64)
+    for part in slices(batches):
+        _, h, _ = shingles(column(part, "text"))
+        np.add.at(total, _cell(h), 1)
+    for k in np.flatnonzero(total.reshape(-1, CHUNK).any(axis=1)).tolist():
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k * CHUNK : (k + 1) * CHUNK].astype(np.uint32).tobytes()])], ["chunk", "counts"])
+
+
+def _full(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Cells with more than 1 of RARE documents; all rows of a chunk are here."""
+    total: dict[int, np.ndarray] = {}
+    for part in batches:
+        for k, raw in zip(column(part, "chunk").to_pylist(), column(part, "counts").to_pylist()):
+            counts = np.frombuffer(raw, np.uint32).astype(np.int64)
+            total[k] = total[k] + counts if k in total else counts
+    for k, counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array(k * CHUNK + np.flatnonzero(counts * RARE > n))], ["cell"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], full: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Documents by shingle of the full cells; a shingle may have several rows, which add up."""
+    held, size = [], 0
+    wanted = np.unpackbits(full).astype(bool)
 
     def settle():
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        ok = n >= max(3, docs / (4 * RARE))
-        return pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(n[ok])], ["h", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     for part in slices(batches):
         _, h, _ = shingles(column(part, "text"))
+        h = h[wanted[_cell(h)]]
         held.append(h)
-        docs, size = docs + part.num_rows, size + len(h)
+        size += len(h)
         if size >= COUNTED:
             yield settle()
-            held, docs, size = [], 0, 0
+            held, size = [], 0
     if size:
         yield settle()
 
 
 def weights(docs: DataFrame) -> Weights:
     """Inverse document frequencies over all documents."""
-    n = docs.count()
-    found = docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * RARE >= n).toArrow()
-    return Weights(np.array(found["h"].to_pylist(), np.int64).view(np.uint64), np.array(found["n"].to_pylist(), float) / max(n, 1))
+    n, text = docs.count(), docs.select("text")
+    cells = text.mapInArrow(_cells, "chunk long, counts binary").repartition("chunk").mapInArrow(partial(_full, n=n), "cell long").toArrow()
+    full = np.zeros(CELLS, bool)
+    full[cells["cell"].to_numpy()] = True
+    found = text.mapInArrow(partial(_counted, full=np.packbits(full)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * RARE > n).toArrow()
+    return Weights(found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(float) / max(n, 1))
 
 
 SIGNED = "doc_id long, t long, s1 long, s2 long, keys array<long>"

@@ -440,6 +440,18 @@ def test_classes_against_brute_force(spark):
     assert sum(a for a, b in found if b) >= 0.97 * sum(b for _, b in found)
 
 
+@pytest.mark.parametrize("parts", [1, 60])
+def test_document_frequencies_are_exact(spark, parts):
+    texts = [f"own{k}a own{k}b own{k}c own{k}d own{k}e" + "".join(f" -{s} s{s}a s{s}b s{s}c s{s}d s{s}e" for s in (2, 5, 10, 20, 50, 99, 101, 150) if k % s == 0) for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    known = near_dup.weights(docs)
+    _, h, _ = near_dup.shingles(pa.array(texts))
+    h, n = np.unique(h, return_counts=True)
+    want = 1 + near_dup.IDF_PART * np.log(np.minimum(len(texts) / n, near_dup.RARE))
+    assert (n * near_dup.RARE > len(texts)).sum() > 20
+    assert np.allclose(known.of(h, np.ones(len(h))), want)
+
+
 def test_alike_texts_of_crowded_buckets_meet(spark):
     # Texts of a form that share little else; the two with the shortest remainders alone are alike.
     texts = []
