@@ -172,6 +172,41 @@ def test_rules_are_well_formed():
     assert licenses.detect("nothing here") == []
 
 
+def form(tree, rng):
+    """A text that a parsed regex matches, chosen at random."""
+    out = ""
+    for op, a in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(a)
+        elif op == "SUBPATTERN":
+            out += form(a[3], rng)
+        elif op == "BRANCH":
+            out += form(rng.choice(a[1]), rng)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(form(a[2], rng) for _ in range(rng.randint(a[0], min(a[1], a[0] + 1))))
+        elif op == "IN":
+            kind, x = rng.choice([y for y in a if str(y[0]) != "NEGATE"]) if str(a[0][0]) != "NEGATE" else ("LITERAL", ord("q"))
+            out += " " if str(kind) == "CATEGORY" else chr(x[0] if str(kind) == "RANGE" else x)
+        else:
+            out += {"ANY": " ", "AT": ""}[op]
+    return out
+
+
+def test_keywords_shut_no_match_out():
+    rng = random.Random(3)
+    for _, _, _, keyword, regex in licenses.rules()[0]:
+        tree = re._parser.parse(regex.pattern, re.ASCII)
+        texts = [f" {form(tree, rng)} " for _ in range(40)]
+        # Some forms miss a word boundary.
+        assert sum(bool(regex.search(text)) for text in texts) >= 1, regex.pattern
+        for text in texts:
+            assert licenses.detect(text) == licenses.detect(text, gated=False), (keyword, text)
+    labels = {x[2] for x in licenses.detect("under the gnu general public license, version 3.")}
+    assert "gpl-3.0" in labels
+    assert [x[2] for x in licenses.detect("gpl, version 2")] == ["gpl-2.0"]
+
+
 def test_licences_of_an_empty_table(empty):
     assert licenses.scan(empty).count() == 0
 
