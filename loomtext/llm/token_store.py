@@ -168,6 +168,11 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+def _leaf(*fields: int | bytes | None) -> bytes:
+    """The digest of an index row's fields."""
+    return digest(b"".join(b"-" if x is None else b"+" + (x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True)) for x in fields))
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of one part in order, with their start in it, and a last row for the part."""
     part, at, rows, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
@@ -180,14 +185,41 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = np.array(column(b, "n").to_pylist(), np.int64)
         root = column(b, "key").to_pylist()
-        for r in root:
-            tree.add(r)
-        yield batch("document", column(b, "doc_id"), root, at + np.cumsum(n) - n, n)
+        start = at + np.cumsum(n) - n
+        for row in zip(column(b, "doc_id").to_pylist(), root, start.tolist(), n.tolist()):
+            tree.add(_leaf(*row))
+        yield batch("document", column(b, "doc_id"), root, start, n)
         at, rows = at + int(n.sum()), rows + len(n)
     if rows:
         yield batch("part", [None], [tree.root()], [rows], [at])
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their start in the whole store. Before those of a part stands its own row, with the ids before it; they must add up to it."""
+    part, want, tree, rows, at, before = None, None, Merkle(), 0, 0, 0
+
+    def settle():
+        if want is not None and (rows, at, tree.root() if rows else b"") != want:
+            raise ValueError(f"the index of part {part} is damaged")
+
+    for b in batches:
+        kept, places = [], []
+        for i, (p, doc, root, start, n, ahead) in enumerate(zip(*(column(b, c).to_pylist() for c in ("part", "doc_id", "root", "start", "n", "before")))):
+            if ahead is not None:
+                settle()
+                part, want, tree, rows, at, before = p, (start, n, root), Merkle(), 0, 0, ahead
+                continue
+            if p != part or start != at:
+                raise ValueError(f"the index of part {p} is damaged")
+            tree.add(_leaf(doc, root, start, n))
+            rows, at = rows + 1, at + n
+            kept.append(i)
+            places.append(before + start)
+        out = b.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([column(out, "doc_id"), column(out, "root"), pa.array(places, pa.int64()), column(out, "n")], ["doc_id", "root", "start", "n_tokens"])
+    settle()
+
+
 class Store:
     """A store in a folder that the driver and all executors share."""
 
@@ -208,6 +240,7 @@ class Store:
             index = store._content("document").select("doc_id", "key", "n")
             index = index.repartitionByRange(n, F.asc_nulls_first("doc_id"), "key").sortWithinPartitions(F.asc_nulls_first("doc_id"), "key")
             index.mapInArrow(_numbered, "kind string, part int, doc_id long, root binary, start long, n long").write.partitionBy("kind").parquet(f"{path}/index")
+        spark.createDataFrame([(store._root(store._parts()),)], "root binary").coalesce(1).write.parquet(f"{path}/manifest")
         return store
 
     def _has(self, kind: str) -> bool:
@@ -237,19 +270,30 @@ class Store:
         """A row for each part, in ascending order of doc_id: part, n_docs, n_tokens, root."""
         return self._index("part").select("part", F.col("start").alias("n_docs"), F.col("n").alias("n_tokens"), "root")
 
+    def _parts(self) -> list:
+        return self.parts().orderBy("part").collect()  # one row for each written part
+
+    @staticmethod
+    def _root(parts: list) -> bytes:
+        return merkle([_leaf(r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in parts])
+
     def manifest(self) -> bytes:
-        """The Merkle root over the parts' roots."""
-        return merkle([bytes(r["root"]) for r in self.parts().orderBy("part").collect()])
+        """The Merkle root over the parts: their counts, and their roots over the index rows. As it was stored at the end of the write."""
+        return bytes(self.spark.read.schema("root binary").parquet(f"{self.path}/manifest").first()["root"])
 
     def documents(self) -> DataFrame:
-        """doc_id, root, start (ids of all documents before it), n_tokens."""
-        parts = self.parts().select("part", "n_tokens").orderBy("part").collect()  # one row for each written part
-        total, starts = 0, []
+        """doc_id, root, start (ids of all documents before it), n_tokens. Fails if the index isn't what the manifest was made of."""
+        parts = self._parts()
+        if self._root(parts) != self.manifest():
+            raise ValueError("the manifest doesn't match the parts")
+        total, heads = 0, []
         for r in parts:
-            starts.append((r["part"], total))
+            heads.append((r["part"], None, bytes(r["root"]), r["n_docs"], r["n_tokens"], total))
             total += r["n_tokens"]
-        offsets = self.spark.createDataFrame(starts, "part int, before long")
-        return self._index("document").join(F.broadcast(offsets), "part").select("doc_id", "root", (F.col("before") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"))
+        names = "part int, doc_id long, root binary, start long, n long, before long"
+        rows = self._index("document").select("part", "doc_id", "root", "start", "n", F.lit(None).cast("long").alias("before")).union(self.spark.createDataFrame(heads, names))
+        rows = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_last("before"), "start")
+        return rows.mapInArrow(_placed, "doc_id long, root binary, start long, n_tokens long")
 
     def _pieces(self) -> DataFrame:
         """Rows (root, digest, seq, n, after) of all recipes: after, the ids that follow the chunk."""

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtext.llm import decontaminate, encoder, fingerprints, licenses, near_dup, packing, quality, queries, scratch, suffix_dedup, textkit, token_store, toxicity, url_filter
@@ -86,6 +87,31 @@ def test_store_finds_damage(spark, odd):
         broken.mapInArrow(token_store._summed, "digest binary, crc long, n_ids long").collect()
 
 
+@pytest.mark.parametrize("change", [
+    "kind = 'document' and doc_id = 7 -> null", "kind = 'document' and doc_id = 7 -> doc_id + 100", "kind = 'document' and part = 1 -> null", "kind = 'part' and part = 1 -> null", "kind = 'part' and part = 1 -> doc_id, n + 1",
+])
+def test_store_finds_a_damaged_index(spark, odd, change):
+    path = scratch.new_path(spark, "store")
+    store = token_store.Store.write(odd, path, TOKENIZER)
+    before = store.documents().count()
+    where, to = change.split(" -> ")
+    index = spark.read.schema("kind string, part int, doc_id long, root binary, start long, n long").parquet(f"{path}/index")
+    assert before == len(TEXTS) and index.where(where).count()
+    if to == "null":
+        bad = index.where(f"not coalesce({where}, false)")
+    else:
+        name = "n" if "n + 1" in to else "doc_id"
+        bad = index.withColumn(name, F.expr(f"if(coalesce({where}, false), {name} + {100 if name == 'doc_id' else 1}, {name})"))
+    bad.write.partitionBy("kind").parquet(f"{path}/index2")
+    jvm = spark._jvm
+    there = [jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in ("index", "index2")]
+    fs = there[0].getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(there[0], True)
+    fs.rename(there[1], there[0])
+    with pytest.raises(Exception, match="damaged|doesn't match"):
+        token_store.Store(spark, path).documents().collect()
+
+
 def test_merkle_roots_agree():
     for n in range(20):
         leaves, tree = [bytes([i]) * 16 for i in range(n)], token_store.Merkle()
