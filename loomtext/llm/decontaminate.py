@@ -183,7 +183,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; longest and longest_at: the longest hit stretch in words and its first word."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; longest and longest_at: the longest stretch covered by hits, of whatever items, in words and its first word."""
     found = search(docs.select("doc_id", "text"), benchmark, window)
     return found.mapInArrow(partial(_judge, rest=("doc_id",)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {JUDGED}")
 
