@@ -5,9 +5,8 @@ The counts of the vote patterns over all documents (at most 3 to the power of
 the labellers) are all that expectation-maximisation needs to estimate how
 accurate each labeller is. The posterior of a document's pattern is its weak
 label, and a logistic scorer over hashed features is trained on these; it
-generalises over the labellers' thresholds and judges all documents. A document
-is kept if its log-odds by the scorer and by its own weak label (at most 4 to
-either side) add up to 0 or more.
+generalises over the labellers' thresholds and alone judges all documents: one
+is kept if its score is 0.5 or more.
 
 The scorer is fitted on at most ``SAMPLE`` different texts, the first in the order
 of a hash of them; counts, votes and scores cover every document, whole.
@@ -249,9 +248,8 @@ def _judge(batches: Iterator[pa.RecordBatch], model: Model, rest: tuple[str, ...
         v = votes(m, words.count).astype(np.int64)
         score = 1 / (1 + np.exp(-np.clip(hashed(data, off, m) @ model.weights + model.intercept, -35, 35))).astype(np.float64)
         weak = posterior(v, model.prior, model.votes)
-        odds = np.log(np.clip(weak, 1e-9, 1) / np.clip(1 - weak, 1e-9, 1)).clip(-4, 4)
-        keep = (odds + np.log(np.clip(score, 1e-9, 1) / np.clip(1 - score, 1e-9, 1)) >= 0) & (words.count > 0)
         score[words.count == 0] = 0
+        keep = score >= 0.5
         yield pa.RecordBatch.from_arrays(
             [*(column(part, x) for x in rest), pa.array(["".join(r) for r in sign[v].tolist()], pa.string()), pa.array(weak), pa.array(score), pa.array(keep)],
             [*rest, "votes", "posterior", "score", "keep"],
