@@ -1,8 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-One pass of a keyword automaton over a lower-cased text tells which of the
-hand-written regexes of ``license_rules`` can match at all; those are run, in
-order. Overlapping detections are resolved by priority, then length, then rule
+White space counts as one blank however long it is, so that notices are found
+across line ends. One pass of a keyword automaton over a lower-cased text tells
+which of the hand-written regexes of ``license_rules`` can match at all; those
+are run, in order. Overlapping detections are resolved by priority, then length, then rule
 order: one that lies inside a stronger one is suppressed.
 
 Apart from that, the base phrases are found exactly: every place where a
@@ -83,6 +84,25 @@ def detect(text: str, gated: bool = True) -> list[tuple[int, int, str, float]]:
     return sorted((x[3], x[4], x[5], x[6]) for x in kept)
 
 
+_SPACE = re.compile("[ \t\n\r\f\v]+")
+
+
+def detect_in(text: str) -> list[tuple[int, int, str, float]]:
+    """Detections in a lower-cased text with any white space, by their places in it."""
+    found = detect(_SPACE.sub(" ", text))
+    if not found:
+        return found
+    # Of each run of white space its place in the folded text, and how much was folded up to it.
+    at, gone, total = [0], [0], 0
+    for m in _SPACE.finditer(text):
+        if m.end() - m.start() > 1:
+            at.append(m.start() - total + 1)
+            total += m.end() - m.start() - 1
+            gone.append(total)
+    back = lambda i: i + gone[bisect_right(at, i) - 1]
+    return [(back(a), back(b - 1) + 1, label, sure) for a, b, label, sure in found]
+
+
 def base_places(words: Words, phrases: dict[str, str]) -> list[tuple[np.ndarray, np.ndarray, str]]:
     """For each phrase: the texts and the first words (from 0 in the text) of all its places, and its label."""
     text, out = words.text_of(), []
@@ -117,7 +137,7 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str]) -> Iterato
         low = words.low.tobytes()
         labels, scores, spans = [], [], []
         for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-            found = detect(low[a:b].decode("utf-8", "replace"))
+            found = detect_in(low[a:b].decode("utf-8", "replace"))
             sure: dict[str, float] = dict.fromkeys(base[i], BASE_CONFIDENCE)
             for _, _, label, s in found:
                 sure[label] = max(s, sure.get(label, 0))
