@@ -13,7 +13,8 @@ chunks, so that equal passages give equal chunks. The store has
 
 All of it is Parquet, written with Spark into the shared folder. Reading back
 re-hashes every chunk and every recipe, and fails if one doesn't have the digest
-under which it is stored.
+under which it is stored, if one is missing, or if the index isn't what the
+manifest was made of.
 
 A worker sends each chunk and recipe it has seen to the shuffle only once
 (``MOST_SEEN`` at a time), so a passage that a third of all documents share
@@ -306,6 +307,11 @@ class Store:
         shifted = found.mapInArrow(_shifted, "root binary, crc long, n long")
         return shifted.groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n_ids"))
 
+    def summary(self) -> DataFrame:
+        """doc_id, start, n_tokens, ids_crc32, root of all documents, from the stored chunks. Fails if a document's recipe is missing or has another number of ids."""
+        found = self.documents().join(self.checksums(), "root", "left")
+        return found.mapInArrow(_checked, "doc_id long, start long, n_tokens long, ids_crc32 long, root binary")
+
     def read(self, roots: DataFrame | None = None) -> DataFrame:
         """Rebuilds streams: (root, ids array<int>). roots: a DataFrame with the roots to rebuild."""
         pieces = self._pieces()
@@ -346,6 +352,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keys, pa.array(crc, pa.int64()), pa.array(n, pa.int64())], ["digest", "crc", "n_ids"])
 
 
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if column(b, "ids_crc32").null_count:
+            raise ValueError("a document's recipe isn't in the store")
+        if column(b, "n_tokens") != column(b, "n_ids"):
+            raise ValueError("a document has another number of ids than its recipe")
+        yield b.select(["doc_id", "start", "n_tokens", "ids_crc32", "root"])
+
+
 _POLY = np.uint32(0xEDB88320)
 
 
