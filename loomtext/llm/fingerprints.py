@@ -5,8 +5,8 @@ whole corpus have are improbable, and windows are ranked by that; those of very
 low entropy say nothing and are left out. In every ``NEAR`` windows in a row, the
 most improbable, the leftmost of equals, gets a point; windows with ``POINTS`` or
 more are a text's features. They go into Bloom filters of ``BITS`` bits, five
-bits each, a new filter after every ``ROOM`` features. Texts under ``SHORT``
-bytes use all their windows of 8 bytes, and those under 8 bytes are one feature.
+bits each, a new filter after every ``ROOM`` features. A text of fewer than
+``WIDTH`` bytes, but not none, is filled up with zero bytes to one window.
 
 Likeness of two fingerprints: each filter of the one with fewer is compared with
 the other's, by the bits in common between what chance gives (0) and the most
@@ -14,9 +14,10 @@ possible (1); the best counts, and the mean over the filters is the result. Equa
 fingerprints have 1; an empty text's fingerprint is empty and like no other.
 
 The fingerprint depends on the text and on the corpus' ranks alone. Null texts
-read as empty. For the order of documents, equal ids are ordered by their text,
-null ids come last; with one document it is its own next. Repeated rows have a
-result each. An empty table gives an empty result. Other columns are not read.
+read as empty. For the order of documents, equal ids are ordered by a hash of
+their text, null ids come last; with one document it is its own next. Repeated
+rows have a result each. An empty table gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ from .textkit import Prefix, buffers, column, mix, slices, sliding_min
 
 WIDTH, NEAR, POINTS = 32, 32, 8
 BITS, ROOM, HASHES = 2048, 160, 5
-SHORT, TINY = 96, 8
 STEPS = 1000
 #: Entropies below this share of the most possible make no features.
 WEAK = 0.15
-MOST_PARTITIONS = 512
+#: Bytes of text in a range of documents, about.
+RANGE_BYTES = 64 << 20
 
 _SCALE = 1 << 16
 _N_LOG_N = np.array([round(c * np.log2(c) * _SCALE) if c else 0 for c in range(WIDTH + 2)], np.int64)
@@ -86,45 +88,39 @@ def ranks(histogram: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _filled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with zero bytes added to those that are shorter than a window, but not empty."""
+    size = np.diff(off)
+    wide = np.where((size > 0) & (size < WIDTH), WIDTH, size)
+    if (wide == size).all():
+        return data, off
+    new = np.append(0, np.cumsum(wide))
+    out = np.zeros(new[-1], np.uint8)
+    out[np.arange(len(data)) + np.repeat(new[:-1] - off[:-1], size)] = data
+    return out, new
+
+
 def features(data: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the features, each once, in the order in which they stand."""
-    size = np.diff(off)
-    prefix = Prefix(data)
-    texts, hashes = [], []
-    long = np.flatnonzero(size >= SHORT)
-    if long.size:
-        step = entropies(data)
-        ok = _inside(off, len(step), WIDTH, long)
-        r = rank[step]
-        r[~ok] = 4095
-        pad = NEAR - 1
-        key = np.full(len(r) + 2 * pad, 4095, np.uint64)
-        key[pad : pad + len(r)] = r
-        low = np.uint64(40)
-        key = key << low | np.arange(len(key), dtype=np.uint64)
-        best = sliding_min(key, NEAR)
-        best = best[best >> low < 4095]
-        points = np.bincount((best & np.uint64((1 << 40) - 1)).astype(np.int64), minlength=len(key))[pad : pad + len(r)]
-        at = np.flatnonzero(points >= POINTS)
-        texts.append(np.searchsorted(off, at, "right") - 1)
-        hashes.append(prefix.at(at, at + WIDTH))
-    short = np.flatnonzero((size < SHORT) & (size >= TINY))
-    if short.size:
-        at = np.concatenate([np.arange(a, b) for a, b in zip(off[short].tolist(), (off[short + 1] - TINY + 1).tolist())])
-        texts.append(np.searchsorted(off, at, "right") - 1)
-        hashes.append(prefix.at(at, at + TINY))
-    tiny = np.flatnonzero((size > 0) & (size < TINY))
-    if tiny.size:
-        texts.append(tiny)
-        hashes.append(prefix.at(off[tiny], off[tiny + 1]))
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    text, h = np.concatenate(texts), np.concatenate(hashes)
-    order = np.lexsort((np.arange(len(h)), h, text))
+    data, off = _filled(data, off)
+    step = entropies(data)
+    r = rank[step]
+    r[~_inside(off, len(step), WIDTH, np.flatnonzero(np.diff(off)))] = 4095
+    pad = NEAR - 1
+    key = np.full(len(r) + 2 * pad, 4095, np.uint64)
+    key[pad : pad + len(r)] = r
+    low = np.uint64(40)
+    key = key << low | np.arange(len(key), dtype=np.uint64)
+    best = sliding_min(key, NEAR)
+    best = best[best >> low < 4095]
+    points = np.bincount((best & np.uint64((1 << 40) - 1)).astype(np.int64), minlength=len(key))[pad : pad + len(r)]
+    at = np.flatnonzero(points >= POINTS)
+    text, h = np.searchsorted(off, at, "right") - 1, Prefix(data).at(at, at + WIDTH)
+    order = np.lexsort((at, h, text))
     t, s = text[order], h[order]
-    new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
-    keep = order[new]
-    keep = keep[np.lexsort((keep, text[keep]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+    keep = np.sort(order[new])
     return text[keep], h[keep]
 
 
@@ -232,35 +228,47 @@ def _edited(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_NAMES = ["doc_id", "text", "bucket", "guest"]
+_ENDS = "part int, side int, end_id long, end_text string"
+
+
+def _pairs(texts: pa.Array, ids: pa.Array, own: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    """Those documents (places in texts) against the text after each."""
+    edited, n = _edited(*buffers(texts))
+    f, at = fingerprint(texts, rank)
+    g, at_g = fingerprint(edited, rank)
+    near_edited, near_next = likenesses(f, at[:-1], g, at_g), likenesses_next(f, at)
+    print_f, print_g = _text_of(f, at), _text_of(g, at_g)
+    sha = [hashlib.sha256(x).hexdigest() for x in edited.to_pylist()]
+    pick = lambda x: pa.array([x[i] for i in own.tolist()], pa.string())
+    columns = [ids.take(pa.array(own)), pa.array(n[own].astype(np.int64)), pick(sha), pick(print_f), pick(print_g), pa.array(near_edited[own]), pa.array(near_next[own])]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COMPARED.split(", ")])
 
 
 def _compared(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of documents within their bucket; the guests after them give the last one's next."""
-    held: pa.RecordBatch | None = None
+    """Rows of a range in the order of documents, compared up to the last; then the range's first (side 0) and last document (side 1), whole."""
+    names, kinds = [x.split()[0] for x in f"{COMPARED}, {_ENDS}".split(", ")], [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.int32(), pa.int64(), pa.string()]
+    held, first = None, None
     for part in slices(batches):
-        part = part.select(_NAMES)
+        part = part.select(["doc_id", "text"])
+        first = first or (column(part, "doc_id")[0].as_py(), column(part, "text")[0].as_py())
         joined = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches(max_chunksize=1 << 30)[0]
         held = joined.slice(joined.num_rows - 1)
-        if joined.num_rows < 2:
-            continue
-        bucket, guest = (column(joined, x).to_numpy(zero_copy_only=False) for x in ("bucket", "guest"))
-        own = np.flatnonzero(~guest[:-1] & (bucket[:-1] == bucket[1:]))
-        if not own.size:
-            continue
-        texts = column(joined, "text")
-        edited, n = _edited(*buffers(texts))
-        f, at = fingerprint(texts, rank)
-        g, at_g = fingerprint(edited, rank)
-        near_edited = likenesses(f, at[:-1], g, at_g)
-        near_next = likenesses_next(f, at)
-        print_f, print_g = _text_of(f, at), _text_of(g, at_g)
-        sha = [hashlib.sha256(x).hexdigest() for x in edited.to_pylist()]
-        pick = lambda x: [x[i] for i in own.tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [column(joined, "doc_id").take(pa.array(own)), pa.array(n[own].astype(np.int64)), pa.array(pick(sha), pa.string()), pa.array(pick(print_f), pa.string()), pa.array(pick(print_g), pa.string()), pa.array(near_edited[own]), pa.array(near_next[own])],
-            [x.split()[0] for x in COMPARED.split(", ")],
-        )
+        if (n := joined.num_rows - 1) > 0:
+            out = _pairs(column(joined, "text"), column(joined, "doc_id"), np.arange(n), rank)
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(n, k) for k in kinds[len(out.columns) :])], names)
+    if first:
+        where = TaskContext.get().partitionId()
+        ends = [(where, 0, *first), (where, 1, column(held, "doc_id")[0].as_py(), column(held, "text")[0].as_py())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(2, k) for k in kinds[:-4]), *(pa.array([e[i] for e in ends], k) for i, k in enumerate(kinds[-4:]))], names)
+
+
+def _met(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The last document of a range against the first of the next."""
+    for part in batches:
+        for i in range(part.num_rows):
+            ids = column(part, "end_id").slice(i, 1)
+            texts = pa.array([column(part, "end_text")[i].as_py(), column(part, "next_text")[i].as_py()], pa.string())
+            yield _pairs(texts, pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), np.array([0]), rank)
 
 
 def likenesses_next(f: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -281,24 +289,22 @@ def likenesses_next(f: np.ndarray, at: np.ndarray) -> np.ndarray:
 def compare_edited(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document, in descending doc_id order.
 
-    Documents are dealt into ranges of doc_id, once; each range also gets, as
-    guests, the rows of the first id of the next range, so that neighbours meet.
+    Documents are dealt once into ranges of doc_id, equal ids by a hash of their
+    text, so that no id fills a range. Each range compares its own neighbours and
+    hands on its first and last document; these meet in a join of two rows a
+    range.
     """
     spark = docs.sparkSession
     rank = corpus_ranks(docs) if rank is None else rank
-    parts = min(scratch.partitions(spark), MOST_PARTITIONS)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")).alias("sid"))
-    shares = [(i + 1) / parts for i in range(parts - 1)]
-    cuts = sorted(set((docs.select(F.percentile_approx("sid", shares, 10_000)).first()[0] or []) if shares else []))
-    array = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.expr("cast(array() as array<bigint>)")
-    bucket = F.size(F.filter(array, lambda c: c < F.col("sid")))
-    tops = docs.groupBy(bucket.alias("bucket")).agg(F.max("sid").alias("top")).orderBy("bucket").collect()  # one row for each range
-    if not tops:
-        return spark.createDataFrame([], COMPARED)
-    # The next of a range's last document is the first of the range below; after the lowest, the very first.
-    guests = [(tops[i - 1]["top"] if i else tops[-1]["top"], tops[i]["bucket"]) for i in range(len(tops))]
-    want = spark.createDataFrame(guests, "sid long, bucket int")
-    own = docs.select("doc_id", "text", "sid", bucket.cast("int").alias("bucket"), F.lit(False).alias("guest"))
-    visit = docs.where(F.col("sid").isin(sorted({s for s, _ in guests}))).join(F.broadcast(want), "sid").select("doc_id", "text", "sid", "bucket", F.lit(True).alias("guest"))
-    rows = own.union(visit).repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("sid"), "text")
-    return rows.select(*_NAMES).mapInArrow(partial(_compared, rank=rank), COMPARED)
+    parts = max(scratch.partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    order = [F.desc("sid"), F.asc("h")]
+    rows = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = scratch.written(rows.mapInArrow(partial(_compared, rank=rank), f"{COMPARED}, {_ENDS}"), "ranges")
+    names = [x.split()[0] for x in COMPARED.split(", ")]
+    ends = rows.where("part is not null").select(*(x.split()[0] for x in _ENDS.split(", ")))
+    used = sorted(r["part"] for r in ends.where("side = 0").select("part").collect())  # a number for each range
+    after = spark.createDataFrame(list(zip(used, [*used[1:], *used[:1]])), "part int, next int")
+    first = ends.where("side = 0").select(F.col("part").alias("next"), F.col("end_text").alias("next_text"))
+    met = ends.where("side = 1").join(after, "part").join(first, "next").select("end_id", "end_text", "next_text").mapInArrow(partial(_met, rank=rank), COMPARED)
+    return rows.where("part is null").select(*names).union(met)
