@@ -5,9 +5,9 @@ between (skip-grams) that occur in it. Training is FTRL-proximal with
 per-coordinate rates; the L1 term leaves few weights that aren't 0, which are
 all that scoring is sent: at most ``2**bits`` of them.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, the first in the order
-of a hash of their ids; those whose crc32(doc_id as text) mod 5 is 0 are never
-used. All documents are scored, whole. Labels that are null or not 0 or 1 are
+The model is fitted on at most ``SAMPLE`` labelled rows of at most
+``SAMPLE_BYTES`` of text in all, the first in the order of a hash of their ids;
+those whose crc32(doc_id as text) mod 5 is 0 are never used. All documents are scored, whole. Labels that are null or not 0 or 1 are
 not used; of several labels of one document the largest counts. With no labels
 at all every score is 0.5 below: 0. Null texts read as empty; an empty text gets
 the model's base rate. Repeated rows are scored alike. Other columns are not
@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 from .textkit import BASE, Words, buffers, column, mix, slices
 
 BITS = 20
-SAMPLE = 12_000
+SAMPLE, SAMPLE_BYTES = 12_000, 48 << 20
 EPOCHS = 4
-#: Features of fewer training documents are not learnt from.
-LEAST = 8
 
 
 def features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +65,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = EPOCHS, least: int = LEAST) -> Model:
+def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = EPOCHS) -> Model:
     """FTRL-proximal over rows of distinct features; the last coordinate is the intercept, without L1."""
     size = 1 << bits
     if not len(rows) or labels.min() == labels.max():
         base = float(labels.mean()) if len(rows) else 0.0
         return Model(bits, np.zeros(0, np.int64), np.zeros(0), 20.0 if base == 1 else -20.0)
-    seen = np.bincount(np.concatenate(rows), minlength=size) >= least
-    rows = [r[seen[r]] for r in rows]
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     penalty = np.full(size + 1, l1)
     penalty[size] = 0
@@ -111,16 +107,22 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """Fits on at most this many labelled documents outside the held-out fifth."""
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most this many labelled documents outside the held-out fifth, of at most so many bytes of text in all."""
     chosen = (
         labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample)
     )
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(partial(_features, bits=bits), "doc_id long, toxic int, f binary")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("f")).limit(sample).toArrow()
-    )
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumns({"place": F.xxhash64("doc_id"), "h": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    few = rows.select("place", "doc_id", "h", "size").orderBy("place", "doc_id", "h").limit(sample).collect()  # at most `sample` rows of numbers
+    total = np.cumsum([r["size"] for r in few])
+    last = int(np.searchsorted(total, sample_bytes, "right")) - 1
+    if last < 0:
+        return train([], np.zeros(0), bits)
+    # Rows up to the last in this order; of rows equal in all three no more than are due.
+    end = F.struct(*(F.lit(few[last][c]).cast("long").alias(c) for c in ("place", "doc_id", "h")))
+    due = rows.where(F.struct("place", "doc_id", "h") <= end)
+    rows = due.mapInArrow(partial(_features, bits=bits), "doc_id long, toxic int, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("f")).limit(last + 1).toArrow()
     f = [np.frombuffer(x.as_py(), np.int32) for x in rows["f"]]
     return train(f, np.array(rows["toxic"].to_pylist(), float), bits)
 
