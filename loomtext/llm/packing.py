@@ -7,9 +7,9 @@ the bucket lengths that need the least padding in all. Sequences of a bucket are
 padded to its length, and a batch holds as many of them as ``BUDGET`` ids allow.
 
 Within a bucket, sequences are numbered without a global sort: those of a bucket
-spread over ``SALTS`` groups by a hash, each group is numbered by itself, and the
-groups' sizes (at most buckets times ``SALTS`` rows) tell where each begins. So a
-bucket that holds most sequences is many small groups.
+spread over groups of about ``GROUP`` sequences by a hash, each group is numbered
+by itself, and the groups' sizes tell where each begins. So a bucket that holds
+most sequences is many small groups. ``batches`` gives the packed ids themselves.
 
 Null texts read as empty: one sequence, the end id alone. Repeated rows and equal
 or null ids are documents each. An empty table gives an empty result. Other
@@ -33,7 +33,10 @@ from .textkit import column, slices
 LONGEST = 2048
 BUCKETS = 8
 BUDGET = 32_768
-SALTS = 256
+#: Sequences that are numbered together, about.
+GROUP = 20_000
+#: Rows of a table that is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def best_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -81,7 +84,7 @@ def sequences(sized: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Per sequence: doc_id, piece, start, n_tokens, bucket (from 0), bucket_len, batch (from 0 in its bucket), slot, padding."""
+    """Per sequence: doc_id, h (a hash of the row), piece, start, n_tokens, bucket (from 0), bucket_len, batch (from 0 in its bucket), slot, padding."""
     seqs = sequences(scratch.written(measure(docs, tokenizer), "lengths"), longest)
     histogram = seqs.groupBy("n_tokens").count().collect()  # at most `longest` rows
     bounds = best_buckets(np.array([r[0] for r in histogram]), np.array([r[1] for r in histogram]), buckets)
@@ -89,14 +92,44 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, buckets: int =
     for i in reversed(range(len(bounds) - 1)):
         which = F.when(F.col("n_tokens") <= bounds[i], i).otherwise(which)
     sizes = F.array(*(F.lit(b) for b in bounds or [1]))
-    rows = seqs.withColumn("bucket", which).withColumn("salt", F.pmod(F.xxhash64("h", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(1, sum(r[1] for r in histogram) // GROUP)
+    rows = seqs.withColumn("bucket", which).withColumn("salt", F.pmod(F.xxhash64("h", "piece"), F.lit(salts)).cast("int"))
     groups = rows.groupBy("bucket", "salt").count()
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("bucket", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     here = Window.partitionBy("bucket", "salt").orderBy("h", "doc_id", "piece")
-    at = rows.withColumn("k", F.row_number().over(here) - 1).join(F.broadcast(offsets), ["bucket", "salt"])  # at most buckets times SALTS rows
+    # At most `buckets` rows for each GROUP sequences.
+    at = rows.withColumn("k", F.row_number().over(here) - 1).join(F.broadcast(offsets) if salts * buckets <= MOST_BROADCAST else offsets, ["bucket", "salt"])
     at = at.withColumn("bucket_len", sizes[F.col("bucket")].cast("long")).withColumn("k", F.col("before") + F.col("k"))
     room = F.expr(f"greatest(1, {budget} div bucket_len)")
     return at.withColumn("room", room).select(
-        "doc_id", "piece", "start", "n_tokens", "bucket", "bucket_len", F.expr("k div room").alias("batch"), F.expr("cast(k % room as int)").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding")
+        "doc_id", "h", "piece", "start", "n_tokens", "bucket", "bucket_len", F.expr("k div room").alias("batch"), F.expr("cast(k % room as int)").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding")
     )
+
+
+def _cut_ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """For rows of a document's text and its sequences, the ids of each sequence with the padding after them."""
+    coder = encoder(path)
+    for part in slices(batches):
+        ids, bounds = coder.encode(column(part, "text"), end_id)
+        rows, who = [], []
+        for i, seqs in enumerate(column(part, "seqs").to_pylist()):
+            mine = ids[bounds[i] : bounds[i + 1]]
+            for s in seqs:
+                out = np.full(s["bucket_len"], end_id, np.int32)
+                out[: s["n_tokens"]] = mine[s["start"] : s["start"] + s["n_tokens"]]
+                rows.append((s["bucket"], s["batch"], s["slot"], s["n_tokens"], out))
+                who.append(i)
+        names = ["doc_id", "bucket", "batch", "slot", "n_tokens", "ids"]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([column(part, "doc_id").take(pa.array(who, pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
+
+
+def batches(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+    """The ids of what pack() gave for docs: doc_id, bucket, batch, slot, n_tokens, ids (as many as the bucket is long, end ids after the sequence's own). docs with several texts under one id: each text's own."""
+    key = F.xxhash64("doc_id", "text").alias("h")
+    seqs = packed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("bucket", "batch", "slot", "start", "n_tokens", "bucket_len")).alias("all"))
+    # The text of repeated rows is encoded once, for all their sequences.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    rows = texts.join(seqs, (texts["h"] == seqs["h"]) & texts["doc_id"].eqNullSafe(seqs["doc_id"])).select(texts["doc_id"], "text", F.col("all").alias("seqs"))
+    return rows.mapInArrow(partial(_cut_ids, path=tokenizer, end_id=end_id), "doc_id long, bucket int, batch long, slot int, n_tokens long, ids array<int>")
