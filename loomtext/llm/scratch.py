@@ -1,18 +1,23 @@
 """Shared scratch tables: where an operator cuts its lineage.
 
 On a cluster the folder is the one that ``spark.checkpoint.dir`` names, which
-the driver and all executors share. Only where that is unset (tests, a laptop)
-a temporary folder of this machine is used.
+the driver and all executors share. Only where that is unset and the master is
+local (tests, a laptop) a temporary folder of this machine is used. Tables that
+nothing will read any more are removed.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,8 +25,11 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="loomtext-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
@@ -34,7 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, k=id(out): _paths.pop(k, None)), path)
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and that nothing will read again, not even to make a lost part anew."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        jvm = df.sparkSession._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
