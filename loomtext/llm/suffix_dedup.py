@@ -12,7 +12,10 @@ How it is spread over executors, without losing a match:
    digest of all bytes that its windows cover (its context).
 2. *Settled contexts.* Contexts that occur twice are repeated throughout; those
    whose anchor occurs in no other context are not repeated at all. Both need
-   counts only, with map-side combine, so large groups of copies are cheap.
+   counts only. A task settles what occurs twice in its own slice of text on the
+   spot, as whole stretches, and sends each such context on once, with its
+   count: a passage that a third of all documents hold is a row for each slice,
+   not for each document, and so is a long run of one byte.
 3. *Suffix sorting.* The rest (edges of passages, edited copies), one context of
    each kind, is gathered by anchor and suffix-sorted: suffixes smaller than
    their successors are sorted directly, the others are induced by bucket scans
@@ -39,10 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkit import Prefix, buffers, column, slices, sliding_argmin
+from .textkit import Prefix, Words, buffers, column, slices, sliding_argmin
 
 LENGTH = 400
-GRAM = 200
+GRAM = 100
+#: A passage of over 50 words, in words and in bytes that it has at least.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
 MOST_CONTEXTS = 4096
 #: Bytes of contexts that are suffix-sorted at once.
 SORT_BYTES = 1 << 20
@@ -157,11 +162,23 @@ def repeated_places(data: bytes, ends: np.ndarray, wanted: np.ndarray, length: i
 
 # Anchors
 
-ANCHORS = "g long, c long, id long, t int, lo int, hi int"
+ANCHORS = "g long, c long, id long, t int, lo int, hi int, n long"
+
+
+def _twice(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of keys: how many rows are equal to it, and whether it is the first of them."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    many = np.diff(np.append(at, len(order)))
+    count, first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+    count[order], first[order[at]] = np.repeat(many, many), True  # the sort is stable
+    return count, first
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["g", "c", "id", "t", "lo", "hi"]
+    """A row for each context, with how often this slice has it: only its first place, if twice or more; and rows without g, stretches that repeat for sure."""
     for part in slices(batches):
         data, off = buffers(column(part, "text"))
         if len(data) < length:
@@ -185,17 +202,58 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             digest(raw[a : b + length], digest_size=8, salt=k.to_bytes(4, "little")).digest()
             for a, b, k in zip(lo.tolist(), hi.tolist(), (anchor - lo).tolist())
         )
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(hashes[anchor].view(np.int64)),
-                pa.array(np.frombuffer(c, np.int64)),
-                column(part, "id").take(pa.array(text)),
-                column(part, "t").take(pa.array(text)),
-                pa.array((lo - off[text]).astype(np.int32)),
-                pa.array((hi - off[text]).astype(np.int32)),
-            ],
-            names,
-        )
+        g, c = hashes[anchor].view(np.int64), np.frombuffer(c, np.int64)
+        n, first = _twice(c, g)
+        sure = np.flatnonzero(n > 1)
+        # Neighbours of one text that are sure make one stretch.
+        apart = np.ones(len(sure), bool)
+        apart[1:] = (text[sure][1:] != text[sure][:-1]) | (lo[sure][1:] != hi[sure][:-1] + 1)
+        begin = sure[apart]
+        end = sure[np.append(np.flatnonzero(apart)[1:], len(sure)) - 1] if len(sure) else sure
+        row = np.concatenate([np.flatnonzero(first), begin])
+        none = np.arange(len(row)) >= len(row) - len(begin)
+        last = np.concatenate([np.flatnonzero(first), end])
+        who, base = pa.array(text[row]), off[text[row]]
+        columns = [
+            pa.array(g[row], mask=none), pa.array(c[row], mask=none), column(part, "id").take(who), column(part, "t").take(who),
+            pa.array((lo[row] - base).astype(np.int32)), pa.array((hi[last] - base).astype(np.int32)), pa.array(n[row]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["g", "c", "id", "t", "lo", "hi", "n"])
+
+
+# Marks: which documents share passages of so many words
+
+MARKS = "g long, id long, t int, n long"
+
+
+def _marks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Marks of texts, each once a text: as for contexts, one row for those that several texts of this slice have, and rows without g with how many such marks a text has."""
+    k = words // 2 + 1
+    for part in slices(batches):
+        h, text = Words(*buffers(column(part, "text"))).grams(k, short=False)
+        w = words - k + 1
+        if len(h) < w:
+            continue
+        place = sliding_argmin(h, w)
+        place = np.unique(place[text[: len(place)] == text[w - 1 :]])
+        h, text = h[place], text[place]
+        _, new = _twice(text, h)
+        h, text = h[new], text[new]
+        n, first = _twice(h)
+        sure = np.bincount(text[n > 1], minlength=part.num_rows)
+        some = np.flatnonzero(sure)
+        who = pa.array(np.concatenate([text[first], some]))
+        none = np.arange(len(who)) >= len(who) - len(some)
+        g = np.concatenate([h[first].view(np.int64), np.zeros(len(some), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(g, mask=none), column(part, "id").take(who), column(part, "t").take(who), pa.array(np.concatenate([n[first], sure[some]]))], ["g", "id", "t", "n"])
+
+
+def shared_marks(docs: DataFrame, words: int) -> DataFrame:
+    """docs (id, t, text): id, t, n_shared of the texts with marks that other documents have too."""
+    marks = scratch.written(docs.select("id", "t", "text").mapInArrow(partial(_marks, words=words), MARKS), "marks")
+    shared = marks.where("g is not null").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    found = marks.where("n = 1 and g is not null").join(shared, "g", "left_semi")
+    return found.union(marks.where("g is null")).groupBy("id", "t").agg(F.sum("n").alias("n_shared"))
 
 
 CONTEXTS = "g long, id long, t int, lo int, hi int, alone boolean, many boolean, bytes binary"
@@ -285,8 +343,8 @@ def merge(runs, length: int) -> tuple[np.ndarray, np.ndarray]:
     return a[at, 0], reach[np.append(at[1:], len(a)) - 1]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, rest) with `runs`, array<struct<lo,hi>>: the runs of starts of repeated windows; null if none."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: tuple[str, ...] = (), words: int = 0) -> DataFrame:
+    """docs (doc_id, text, rest) with `runs`, array<struct<lo,hi>>: the runs of starts of repeated windows; null if none. words: also n_shared, see remove_repeats."""
     spark = docs.sparkSession
     # Equal ids of different texts are told apart by t; equal rows have equal results.
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest).select(
@@ -297,9 +355,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest
     anchors = scratch.written(
         docs.where(F.octet_length("text") >= length).select("id", "t", "text").mapInArrow(partial(_anchors, length=length, gram=gram), ANCHORS), "anchors"
     )
-    classes = anchors.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "lo", "hi")).alias("rep"))
+    classes = anchors.where("g is not null").groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "lo", "hi")).alias("rep"))
     classes = scratch.written(classes, "contexts")
-    settled = anchors.join(classes.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("id", "t", "lo", "hi")
+    settled = anchors.where("n = 1").join(classes.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").union(anchors.where("g is null")).select("id", "t", "lo", "hi")
     shared = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1")
     needed = classes.join(shared, "g").select("g", "rep.*", (F.col("n") == 1).alias("alone"), (F.col("kinds") > MOST_CONTEXTS).alias("many"))
     contexts = scratch.written(
@@ -313,13 +371,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
     many = windows.where("alone").join(twice, ["w1", "w2"], "left_semi").select("id", "t", "lo", F.col("lo").alias("hi"))
     runs = settled.union(few).union(many).groupBy("id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    return docs.join(runs.hint("shuffle_merge"), ["id", "t"], "left").select("doc_id", "text", *rest, "runs")
+    out = docs.join(runs.hint("shuffle_merge"), ["id", "t"], "left")
+    if words:
+        out = out.join(shared_marks(docs, words).hint("shuffle_merge"), ["id", "t"], "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
+        rest = (*rest, "n_shared")
+    return out.select("doc_id", "text", *rest, "runs")
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool, rest: tuple[str, ...], valid: bool = False) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool, rest: tuple[str, ...], valid: bool = False, after: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         data, off = buffers(column(part, "text"))
         raw = data.tobytes()
@@ -339,27 +401,37 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool, r
             kept.append((keep.decode("utf-8", "ignore").encode() if valid else keep) if with_bytes else None)
         long = lambda x: pa.array(x, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(column(part, x) for x in rest), long(sizes), long(removed), long(spans), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-            [*rest, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [*(column(part, x) for x in rest), long(sizes), long(removed), long(spans), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), *(column(part, x) for x in after)],
+            [*rest, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *after],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless with_bytes)."""
-    spans = repeated_spans(docs, length, length // 2)
-    return spans.mapInArrow(partial(_removed, length=length, with_bytes=with_bytes, rest=("doc_id",)), REMOVED)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless with_bytes), n_shared.
+
+    n_shared tells of passages that may be shorter than length: among all runs of
+    half as many words as `words` and one more, marks are chosen so that every
+    run of `words` words has one, and the same in all texts. It is the number of
+    a document's marks that other documents have too: above 0 if it shares a
+    passage of so many words, whatever their length in bytes.
+    """
+    spans = repeated_spans(docs, length, length // 4, words=words)
+    return spans.mapInArrow(partial(_removed, length=length, with_bytes=with_bytes, rest=("doc_id",), after=("n_shared",)), f"{REMOVED}, n_shared long")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs with what remains of their texts, and n_chars, if there, to match.
 
-    A character of which a byte was removed goes whole. Null texts stay null; all other columns stay as they are.
+    Of a passage that stands at several places, no place stays. A character of
+    which a byte was removed goes whole. Null texts stay null; all other columns
+    stay as they are. The default length is less than any 51 words of four
+    letters with their blanks.
     """
     inner = tuple(f"c{i}" for i in range(len(docs.columns)))
     name = dict(zip(docs.columns, inner))
     plain = docs.toDF(*inner).withColumns({"doc_id": F.col(name["doc_id"]), "text": F.col(name["text"])})
     rest = tuple(c for c in inner if c != name["text"])
-    spans = repeated_spans(plain.withColumn("gone", F.col("text").isNull()), length, length // 2, (*rest, "gone"))
+    spans = repeated_spans(plain.withColumn("gone", F.col("text").isNull()), length, length // 4, (*rest, "gone"))
     schema = "".join(f"{c} {f.dataType.simpleString()}, " for c, f in zip(inner, docs.schema) if c in rest) + "gone boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = spans.mapInArrow(partial(_removed, length=length, with_bytes=True, rest=(*rest, "gone"), valid=True), schema)
     text = F.when(~F.col("gone"), F.col("kept").cast("string"))
