@@ -19,14 +19,17 @@ rare, so that a few copies of a text don't outweigh its edits.
    weights are, and independently of other samples.
 3. *Links.* Documents that agree in all bins of a band meet. Texts with the same
    shingles are one before that. In each bucket every document is first compared
-   with the smallest. Then every two that meet and are of different classes so
-   far are compared, in the first band where they meet: the texts of a bucket
-   fall into blocks, and each two blocks that aren't of one class are a unit of
-   work, so that a crowded bucket spreads over many tasks.
+   with the hub, the one that meets most others over all bands: in a group of
+   edited copies that is the text they were made from, or one close to it. Then
+   every two that meet and are of different classes so far are compared, in the
+   first band where they meet: the texts of a bucket fall into blocks, and each
+   two blocks that aren't of one class are a unit of work, so that a crowded
+   bucket spreads over many tasks. A unit gives one link for two classes, not
+   one for each pair of their texts.
 4. *Verification* with the weighted Jaccard similarity of the whole multisets,
    then classes as connected components, by joins that halve distances. The
-   classes are those of all verified pairs that meet; pairs inside a class that
-   the first comparison made are not counted as links.
+   classes are those of all verified pairs that meet; only links that made a
+   class are counted, not all pairs inside of it.
 
 Null texts read as empty. Texts without words are alike only if equal: a class
 each by text. Equal texts of repeated rows, equal or null ids are one class. The
@@ -55,8 +58,8 @@ IDF_PART, RARE = 0.25, 100
 COUNTED = 2_000_000
 #: Cells of the first count, and those in a row of it.
 CELLS, CHUNK = 1 << 20, 1 << 12
-#: Texts of a bucket in a block, about.
-BLOCK = 64
+#: Bytes of shingles and counts (12 each) of the texts of a block, about.
+BLOCK = 1 << 20
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,10 +246,11 @@ def _linked(rows: list[dict], weights: Weights, least: float) -> pa.RecordBatch:
     start = np.cumsum(many) - many
     row_o, w_o = row[order], w[order]
     side, keys = np.array([r["side"] for r in rows]), np.array([r["keys"][:band] for r in rows], np.int64).reshape(n, band)
-    x, root = np.array([(r["s1"], r["s2"]) for r in rows]), np.array([(r["r1"], r["r2"]) for r in rows])
-    crossed, place, out = bool(side.any()), np.arange(n), []
+    x = np.array([(r["s1"], r["s2"]) for r in rows])
+    _, root = np.unique(np.array([(r["r1"], r["r2"]) for r in rows]), axis=0, return_inverse=True)
+    root, place, crossed, out = root.ravel(), np.arange(n), bool(side.any()), []
     for i in range(n):
-        other = (side > side[i] if crossed else place > i) & (root != root[i]).any(axis=1) & ~(keys == keys[i]).any(axis=1)
+        other = (side > side[i] if crossed else place > i) & (root != root[i]) & ~(keys == keys[i]).any(axis=1)
         other &= np.minimum(total, total[i]) >= least * np.maximum(total, total[i]) - 1e-9
         if not other.any():
             continue
@@ -254,8 +258,10 @@ def _linked(rows: list[dict], weights: Weights, least: float) -> pa.RecordBatch:
         k = many[g]
         at = np.repeat(start[g] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         top = np.bincount(row_o[at], np.minimum(w_o[at], np.repeat(w[first[i] : first[i + 1]], k)), n)
-        j = np.flatnonzero(other & (top >= least * (total + total[i] - top) - 1e-9))
-        out.append(np.hstack([np.broadcast_to(x[i], (len(j), 2)), x[j]]))
+        for j in np.flatnonzero(other & (top >= least * (total + total[i] - top) - 1e-9)).tolist():
+            if root[j] != root[i]:  # one link makes the two classes one
+                root[root == root[j]] = root[i]
+                out.append(np.concatenate([x[i], x[j]])[None])
     found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a1", "a2", "b1", "b2"])
 
@@ -275,8 +281,8 @@ def _crossed(batches: Iterator[pa.RecordBatch], weights: Weights, least: float)
 
 
 def _works(placed: DataFrame) -> DataFrame:
-    """For rows (band, key, x, root): band, work, side, x, root, so that any two texts of a bucket with different roots meet in one work."""
-    kin = placed.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
+    """For rows (band, key, x, size, root): band, work, side, x, root, so that any two texts of a bucket with different roots meet in one work."""
+    kin = placed.groupBy("band", "key", "root").agg(F.sum("size").alias("c"))
     sizes = kin.groupBy("band", "key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("c") < BLOCK, F.col("c"))).alias("few")).where("roots > 1")
     kin = kin.join(sizes, ["band", "key"])
     # A large class has blocks of its own, small classes share some.
@@ -307,22 +313,18 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
         # Large star: larger neighbours of a node go to its smallest; small star: smaller ones go to the smallest of them.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.written(large.where("u <> v").distinct(), name)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         after = scratch.written(small.where("u <> v").select("u", "v").distinct(), name)
-        if _same(edges, after):
-            return after.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+        scratch.remove(edges)
+        # Done when each node has one link, to a node that has none of its own.
+        ends = after.select("u", F.lit(1).alias("n")).union(after.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+        if not ends.groupBy("u").agg(F.sum("n").alias("own"), F.count("*").alias("all")).where("own > 1 or own = 1 and all > 1").limit(1).count():
+            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         edges = after
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Two sets of links, compared by their size and sums of hashes."""
-    code = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))]
-    return a.agg(*code).first() == b.agg(*code).first()
-
-
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, class_id, n_links (verified links of its text to others), t (a hash of its text), root (tells classes apart, also those of one doc_id)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -330,15 +332,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signed = scratch.written(docs.mapInArrow(partial(_signed, weights=idf), SIGNED), "signed")
     texts = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
     spread = texts.where("keys is not null").select(F.struct("s1", "s2").alias("x"), F.posexplode("keys").alias("band", "key"))
-    full = spread.groupBy("band", "key").agg(F.min("x").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "key", "least")
-    met = scratch.written(spread.join(full, ["band", "key"]).select("x", "least", "band", "key"), "met")
-    stars = scratch.written(met.where("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct(), "stars")
+    full = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.written(spread.join(full, ["band", "key"]).select("x", "band", "key", "n"), "met")
+    hubs = met.join(met.groupBy("x").agg(F.sum("n").alias("meets")), "x").groupBy("band", "key").agg(F.max(F.struct("meets", "x"))["x"].alias("hub"))
+    stars = met.join(hubs, ["band", "key"]).where("x <> hub").select(F.greatest("hub", "x").alias("a"), F.least("hub", "x").alias("b"))
+    stars = scratch.written(stars.distinct(), "stars")
     # Shingles of the texts that met others, once each.
     node = met.select("x.*").distinct()
-    one = signed.join(node, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(_id("doc_id")).alias("id"), F.first("keys").alias("keys"))
-    text = docs.withColumn("id", _id("doc_id")).select("id", "text")
-    sets = text.join(one, "id").select("s1", "s2", "keys", "text").mapInArrow(_keyed_sets, "s1 long, s2 long, keys array<long>, t1 long, t2 long, shingles binary").where("s1 = t1 and s2 = t2").select("s1", "s2", "keys", "shingles")
-    sets = scratch.written(sets.dropDuplicates(["s1", "s2"]), "sets")
+    one = signed.join(node, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct(_id("doc_id").alias("id"), "t")).alias("r"), F.first("keys").alias("keys")).select("s1", "s2", "keys", "r.id", "r.t")
+    sets = docs.withColumn("id", _id("doc_id")).select("id", "t", "text").join(one, ["id", "t"]).select("s1", "s2", "keys", "text")
+    sets = scratch.written(sets.mapInArrow(_sets, "s1 long, s2 long, keys array<long>, shingles binary").dropDuplicates(["s1", "s2"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("shingles").alias("sa"))
@@ -349,12 +352,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return _ends(ok)
 
     sure = scratch.written(verify(stars), "links")
+    scratch.remove(stars)
     roots = components(sure)
     # What the stars left apart: any two texts of a bucket that are of different classes so far.
-    placed = scratch.written(met.join(roots, met["x"] == roots["node"], "left").select("band", "key", "x", F.coalesce("root", "x").alias("root")), "placed")
+    size = sets.select(F.struct("s1", "s2").alias("x"), F.octet_length("shingles").cast("long").alias("size"))
+    placed = met.join(size, "x").join(roots, F.col("x") == F.col("node"), "left").select("band", "key", "x", "size", F.coalesce("root", "x").alias("root"))
+    placed = scratch.written(placed, "placed")
+    scratch.remove(met)
     works = _works(placed).select("band", "work", "side", "x.s1", "x.s2", F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2")).join(sets.hint("shuffle_merge"), ["s1", "s2"])
     works = works.repartition("band", "work").sortWithinPartitions("band", "work")
     more = scratch.written(_ends(works.mapInArrow(partial(_crossed, weights=idf, least=least), _PAIR)), "links")
+    scratch.remove(placed, sets)
     links = sure.union(more)
     if more.limit(1).count():
         roots = components(links)
@@ -367,29 +375,27 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return signed.select("doc_id", "t", "s1", "s2").join(table, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "t", "root")
 
 
-def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of texts beside the key that their own text has, since equal ids may have several texts."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles and counts of texts, packed."""
     for part in slices(batches):
         text, h, count = shingles(column(part, "text"))
-        n = part.num_rows
-        keys = []
-        for salt in (71, 72):
-            s = np.zeros(n, np.uint64)
-            np.add.at(s, text, mix(mix(h + np.uint64(salt)) + count.astype(np.uint64)))
-            keys.append(pa.array(s.view(np.int64)))
-        cut = np.searchsorted(text, np.arange(1, n))
+        cut = np.searchsorted(text, np.arange(1, part.num_rows))
         rows = [a.tobytes() + b.astype(np.uint32).tobytes() for a, b in zip(np.split(h, cut), np.split(count, cut))]
-        yield pa.RecordBatch.from_arrays([column(part, "s1"), column(part, "s2"), column(part, "keys"), *keys, pa.array(rows, pa.binary())], ["s1", "s2", "keys", "t1", "t2", "shingles"])
+        yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("s1", "s2", "keys")), pa.array(rows, pa.binary())], ["s1", "s2", "keys", "shingles"])
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs with one of each class, the one with the smallest doc_id; of repeated rows, one."""
+    """The rows of docs with one of each class, the one with the smallest doc_id; of rows with equal ids and texts, the one whose columns have the smallest hash. All columns stay, whatever their names."""
     found = classes(docs, least)
-    found = scratch.written(found.select(_id("doc_id").alias("_id"), "t", "root"), "classes")
-    first = found.groupBy("root").agg(F.min(F.struct("_id", "t")).alias("r")).select("r._id", F.col("r.t").alias("_t"))
-    kept = docs.withColumns({"_id": _id("doc_id"), "_t": F.xxhash64(F.coalesce("text", F.lit("")))}).join(first, ["_id", "_t"], "left_semi").drop("_id", "_t")
-    twice = found.groupBy("_id", "t").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if twice else kept
+    found = scratch.written(found.select(_id("doc_id").alias("id"), "t", "root"), "classes")
+    first = found.groupBy("root").agg(F.min(F.struct("id", "t")).alias("r")).select("r.id", "r.t")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    name = dict(zip(docs.columns, inner))
+    kept = docs.toDF(*inner).withColumns({"id": _id(name["doc_id"]), "t": F.xxhash64(F.coalesce(F.col(name["text"]), F.lit("")))}).join(first, ["id", "t"], "left_semi")
+    if found.groupBy("id", "t").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("h", F.xxhash64(*inner))
+        kept = kept.join(kept.groupBy("id", "t").agg(F.min("h").alias("h")), ["id", "t", "h"], "left_semi").dropDuplicates(["id", "t"])
+    return kept.select(*inner).toDF(*docs.columns)
 
 
 def _id(name: str):
