@@ -419,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Tru
     return spans.mapInArrow(partial(_removed, length=length, with_bytes=with_bytes, rest=("doc_id",), after=("n_shared",)), f"{REMOVED}, n_shared long")
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = PASSAGE_BYTES) -> DataFrame:
     """The rows of docs with what remains of their texts, and n_chars, if there, to match.
 
     Of a passage that stands at several places, no place stays. A character of
