@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.Store.write(table(spark, sf_dir, "documents"), scratch.new_path(spark, "store"), public_tokenizers.path(TOKENIZER))
-    return store.documents().join(store.checksums(), "root").select("doc_id", "start", "n_tokens", "ids_crc32", F.hex("root").alias("root"))
+    return store.summary().select("doc_id", "start", "n_tokens", "ids_crc32", F.hex("root").alias("root"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest", "longest_at")
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_at", "longest_item", "longest_item_at")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,16 +71,20 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op6_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
-b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark),
-bw AS (SELECT DISTINCT item, k, list_slice(ws, s, s + k - 1) AS win
-       FROM (SELECT item, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM (SELECT *, least(13, len(ws)) AS k FROM b WHERE len(ws) > 0))),
+b AS (SELECT row_number() OVER () AS t, coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark),
+bo AS (SELECT item, t, k, s AS o, list_slice(ws, s, s + k - 1) AS win
+       FROM (SELECT item, t, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM (SELECT *, least(13, len(ws)) AS k FROM b WHERE len(ws) > 0))),
+bw AS (SELECT DISTINCT item, k, win FROM bo),
 dw AS (SELECT rid, k, s, list_slice(ws, s, s + k - 1) AS win
        FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k)),
 hits AS (SELECT dw.rid, dw.s, dw.k, bw.item FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
 places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM hits) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
-SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid),
+islands AS (SELECT rid, item, count(*) + min(k) - 1 AS n FROM (SELECT dw.rid, bo.item, dw.k, dw.s, dw.s - bo.o AS d, dw.s - row_number() OVER (PARTITION BY dw.rid, bo.item, bo.t, dw.s - bo.o ORDER BY dw.s) AS g, bo.t
+            FROM dw JOIN bo ON dw.k = bo.k AND dw.win = bo.win) GROUP BY rid, item, t, d, g),
+longest AS (SELECT rid, max(n) AS longest FROM islands GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
-FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid) LEFT JOIN longest USING (rid)
 """,
 }
