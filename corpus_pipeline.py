@@ -26,13 +26,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 400 bytes or more (about 62 words) that stand at two places or more."""
+    """Removes passages of 200 bytes or more, which any 51 words of four letters have, that stand at two places or more."""
     ship(spark)
     return suffix_dedup.strip_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark passages cover 5 % of the words or more; longer ones stay, with the passage."""
+    """Drops documents that hold a benchmark window (13 words, or a whole shorter item)."""
     ship(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
