@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 #: Cuts between words, before an upper-case letter after a lower-case letter or digit, and inside acronyms.
 WORD_CUT = r"[^\p{IsAlphabetic}\p{N}]+|(?<=[\p{IsLowercase}\p{N}])(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 IDENTIFIER_CUT = r"[^\p{IsAlphabetic}\p{N}]+|(?<=[\p{IsLowercase}\p{N}])(?=\p{IsUppercase})"
-COMMON_SYMBOLS = ("error", "result", "value", "new", "main", "default", "config", "options", "context", "state")
+# Symbols that say nothing about a file.
+COMMON_SYMBOLS = (
+    "actual", "boolean", "call", "changed", "clone", "close", "collect", "config", "context", "data", "default", "error", "expected", "file", "filter", "from", "get", "index", "input", "into",
+    "item", "iter", "main", "map", "meta", "name", "new", "none", "number", "open", "option", "output", "path", "read", "result", "run", "set", "some", "state", "status", "string", "test", "tool",
+    "unknown", "url", "value", "write",
+)
+# Directories of tests, change types of commit subjects, words that tell no task apart.
+TEST_DIRECTORIES = ("tests", "test", "__tests__", "fixtures", "testdata", "benches", "examples")
+CHANGE_TYPES = ("feat", "fix", "chore", "refactor", "perf", "style", "build", "ci", "bench")
+STOP_TOKENS = ("src", "lib", "mod", "index", "main", "the", "and", "for", "with", "from", "into")
+# Languages by extension.
+LANGUAGES = {
+    "Rust": ("rs",), "Python": ("py",), "TypeScript": ("ts", "tsx"), "JavaScript": ("js", "jsx", "mjs", "cjs"), "Go": ("go",), "Java": ("java",), "Kotlin": ("kt", "kts"), "Swift": ("swift",), "Ruby": ("rb",),
+    "PHP": ("php",), "C#": ("cs",), "C": ("c", "h"), "C++": ("cc", "cpp", "hpp"), "Shell": ("sh",), "HTML": ("html",), "CSS": ("css", "scss"), "Svelte": ("svelte",), "Vue": ("vue",),
+}
+FAMILIES = {"web": ("TypeScript", "JavaScript", "Svelte", "Vue"), "c": ("C", "C++"), "jvm": ("Java", "Kotlin")}
 
 
 def terms(text: Column) -> Column:
@@ -77,17 +92,75 @@ def thousands(n: Column) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Slashes one way, no empty or . parts, and .. folded; leading ones stay."""
-    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != "") & (p != "."))
+    parts = F.filter(F.split(F.translate(normal_space(path), "\\", "/"), "/"), lambda p: (p != "") & (p != "."))
     up = lambda acc: (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != "..")
     fold = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when((p == "..") & up(acc), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
     return F.array_join(fold, "/")
 
 
 def test_like(path: Column) -> Column:
-    return F.lower(F.concat(F.lit("/"), path)).rlike(r"/(tests?|testing|__tests__|specs?|fixtures|testdata)/|/test_[^/]*$|\.test\.|\.spec\.|_test\.go$|_tests\.rs$")
+    """Whether a path is of a test, a fixture or an example; letters of either case."""
+    return F.lower(F.concat(F.lit("/"), path)).rlike(f"/({'|'.join(TEST_DIRECTORIES)})/" + r"|/test_[^/]*$|\.(test|spec)\.[^/]*$|_test\.go$|_tests\.rs$")
+
+
+def fixture_like(path: Column) -> Column:
+    """The narrower rule of the structural ranking; letters as they are."""
+    return path.rlike("^tests/|/(tests|test|fixtures|examples)/")
 
 
 def clean_query(subject: Column) -> Column:
-    """A commit subject without its request number and change type; the scope stays."""
-    bare = F.regexp_replace(subject, r" *\(#[0-9]+\)$", "")
-    return F.trim(F.regexp_replace(bare, r"^(?:feat|fix|docs|chore|refactor|perf|test|build|ci|style)(?:\(([^)]*)\))?!?: *", "$1 "))
+    """A commit subject without its request number and change type; the scope stays as words."""
+    bare = F.regexp_replace(subject, r"\s*\(#[0-9]+\)\s*$", "")
+    head = rf"^(?:{'|'.join(CHANGE_TYPES)})(?:\(([^)]*)\))?!?:\s*"
+    scope, rest = F.regexp_extract(bare, head, 1), normal_space(F.regexp_replace(bare, head, ""))
+    return F.when(bare.rlike(head) & (scope != ""), F.concat(scope, F.lit(": "), rest)).otherwise(rest)
+
+
+def normal_space(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def normal_identifier(name: Column) -> Column:
+    return F.lower(normal_space(name))
+
+
+def task_words(text: Column) -> Column:
+    """Distinct lower-case words of three letters or digits and more, names split, without words that tell nothing."""
+    parts = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)")), lambda w: F.length(w) >= 3)
+    return F.array_except(F.array_distinct(F.transform(parts, F.lower)), F.array(*map(F.lit, STOP_TOKENS)))
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
+
+
+def _named(groups: dict[str, tuple[str, ...]], x: Column, other: Column) -> Column:
+    out = other
+    for name, members in groups.items():
+        out = F.when(x.isin(*members), name).otherwise(out)
+    return out
+
+
+def language(path: Column) -> Column:
+    return _named(LANGUAGES, F.lower(extension(path)), F.lit("other"))
+
+
+def language_family(path: Column) -> Column:
+    """Languages whose files can name each other's types."""
+    return _named(FAMILIES, language(path), language(path))
+
+
+def parent(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def query_words(query: Column) -> Column:
+    """Identifier tokens of a query and, if it is one word, the word itself."""
+    whole = normal_identifier(query)
+    return F.array_distinct(F.concat(identifier_tokens(query), F.when((whole != "") & ~whole.rlike(r"(?U)\s"), F.array(whole)).otherwise(F.array().cast("array<string>"))))
+
+
+def shortlist_words(text: Column) -> Column:
+    """ASCII words of two characters or more, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1))

@@ -5,6 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
+
+#: Words of a passage, between its first and its last, by which documents that may hold it are found.
+RUN = 4
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id, doc_id of the documents (doc_id, text) whose text contains a passage (query_id, passage).
+
+    A document that holds a passage also holds its inner words, whole and in a
+    row: an equi-join on a run of them finds candidates, which are then compared.
+    Passages of fewer words are found by their first bytes only if there are any.
+    """
+    words = lambda c: F.split(c, "[ \\n]+")
+    run = lambda c, i: F.array_join(F.slice(words(c), i, RUN), " ")
+    long = F.size(words("passage")) >= RUN + 2
+    keyed = passages.where(long).select("query_id", "passage", run("passage", F.lit(2)).alias("key"))
+    starts = F.sequence(F.lit(1), F.size(words("text")) - RUN + 1)
+    runs = docs.where(F.size(words("text")) >= RUN).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: run("text", i)))).alias("key"))
+    pairs = runs.join(keyed.select("query_id", "key"), "key").select("doc_id", "query_id")
+    found = docs.join(pairs, "doc_id").join(passages, "query_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    short = passages.where(~long)
+    if short.limit(1).count():
+        block = short.agg(F.collect_list(F.struct("query_id", "passage")).alias("block"))
+        rest = docs.crossJoin(F.broadcast(block)).select("doc_id", F.explode(F.filter("block", lambda x: F.col("text").contains(x["passage"]))["query_id"]).alias("query_id"))
+        found = found.union(rest.select("query_id", "doc_id"))
+    return found.distinct()
+
 
 def metrics(ranked: DataFrame, gold: DataFrame, depth: int = 20) -> DataFrame:
     """query_id, ndcg10, r1, r5, r10, mrr (6 digits) of every query with gold; one without a hit has zeros."""
@@ -35,22 +64,107 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
 
 
 def bootstrap(results: DataFrame, value: str, rounds: int = 2000, seed: int = 7) -> DataFrame:
-    """mean, low, high: the 95 % interval of the mean. Evaluation rows are one for each query; they are drawn in the order of query_id."""
+    """mean, low, high: the 95 % interval of the mean of a few rows (one for each evaluated query), drawn in the order of query_id."""
+    import random
 
-    def run(pdf):
-        import random
+    x, rng = [r[value] for r in results.select("query_id", value).orderBy("query_id").collect()], random.Random(seed)
+    if not x:
+        return results.sparkSession.createDataFrame([], "mean double, low double, high double")
+    means = sorted(sum(rng.choice(x) for _ in x) / len(x) for _ in range(rounds))
+    return results.sparkSession.createDataFrame([(sum(x) / len(x), means[int(0.025 * rounds)], means[int(0.975 * rounds)])], "mean double, low double, high double")
 
-        import pandas as pd
 
-        x, rng = pdf.sort_values("query_id")[value].tolist(), random.Random(seed)
-        means = sorted(sum(rng.choice(x) for _ in x) / len(x) for _ in range(rounds))
-        return pd.DataFrame({"mean": [sum(x) / len(x)], "low": [means[int(0.025 * rounds)]], "high": [means[int(0.975 * rounds)]]})
+def paired(base: DataFrame, other: DataFrame, value: str) -> DataFrame:
+    """query_id, delta of the queries that both have."""
+    return base.select("query_id", F.col(value).alias("a")).join(other.select("query_id", F.col(value).alias("b")), "query_id").select("query_id", F.round(F.col("b") - F.col("a"), 6).alias("delta"))
 
-    return results.select("query_id", value).groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: run(pdf), "mean double, low double, high double")
+
+def win_tie_loss(deltas: DataFrame) -> DataFrame:
+    """n, mean, wins, ties, losses, with a band of 1e-9 for ties."""
+    d = F.col("delta")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return deltas.agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), count(d > 1e-9, "wins"), count(F.abs(d) <= 1e-9, "ties"), count(d < -1e-9, "losses"))
+
+
+def macro_mean(results: DataFrame, by: str, value: str) -> DataFrame:
+    """macro: the mean of the groups' means."""
+    return results.groupBy(by).agg(F.avg(value).alias("m")).agg(F.round(F.avg("m"), 6).alias("macro"))
 
 
 def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """value_at: the element at place int(share * n) of the sorted values, by a distributed rank."""
-    at = rows.withColumn("k", F.row_number().over(Window.orderBy(value)) - 1)
-    n = rows.agg(F.count("*").alias("n"))
-    return at.crossJoin(F.broadcast(n)).where(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * share))).select(F.col(value).alias("value_at"))
+    """value_at: the element at place int(share * n) of the sorted values.
+
+    Equal values are counted together first. Slices of the value range are
+    summed before the one slice with the place is sorted, so no task gets all.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
+    parts = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
+    parts = stored(parts, "values")
+    sizes = sorted((r["low"], r["part"], r["n"]) for r in parts.groupBy("part").agg(F.min(value).alias("low"), F.sum("n").alias("n")).collect())  # a row for each part
+    total = sum(n for *_, n in sizes)
+    place = min(total - 1, int(share * total))
+    for _, part, n in sizes:
+        if place < n:
+            upto = F.sum("n").over(Window.orderBy(value))
+            return parts.where(F.col("part") == part).withColumn("upto", upto).where(F.col("upto") > place).agg(F.min(value).alias("value_at"))
+        place -= n
+    return counts.select(F.col(value).alias("value_at")).limit(0)
+
+
+def hot_files(cases: DataFrame, depth: int = 20) -> DataFrame:
+    """id, path, n, place: for each case the files that most other cases of its repository have as gold. cases: id, repo, gold (array)."""
+    each = cases.select("id", "repo", F.explode("gold").alias("path"))
+    total = each.groupBy("repo", "path").agg(F.count("*").alias("n"))
+    # Others' count is the total less one's own; only the first depth and as many as a case has gold can matter.
+    widest = cases.agg(F.coalesce(F.max(F.size("gold")), F.lit(0))).first()[0]
+    k = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "path"))
+    top = total.withColumn("k", k).where(F.col("k") <= depth + widest).drop("k")
+    own = each.select("id", "repo", "path", F.lit(1).alias("own"))
+    # Files of a case itself may be in the list only through others, and one that drops by its own count may fall behind any with one less.
+    rows = cases.select("id", "repo").join(top, "repo").join(own, ["id", "repo", "path"], "left").select("id", "path", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "path"))
+    return rows.withColumn("place", place).where(F.col("place") <= depth)
+
+
+def best_chunks(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, file, score (6 digits), place: a file's score is the highest cosine of its chunks. vectors: file, embedding; queries: query_id, embedding, a stated set that is broadcast if it is small."""
+    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+    wide = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    a, b = wide(vectors).select("file", unit(F.col("embedding")).alias("v")), wide(queries).select("query_id", unit(F.col("embedding")).alias("q"))
+    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    # Every stated query against all chunks: the queries' block stands beside each chunk.
+    block = b.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
+    rows = a.crossJoin(F.broadcast(block)).select("file", "v", F.explode("block").alias("x")).select("file", F.col("x.query_id").alias("query_id"), "v", F.col("x.q").alias("q"))
+    best = rows.groupBy("query_id", "file").agg(F.round(F.max(dot), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "file"))
+    return best.withColumn("place", place).where(F.col("place") <= most)
+
+
+def capped_cases(cases: DataFrame, most_per_file: int = 6, most_cases: int = 1_000_000) -> DataFrame:
+    """id, repo, pos: cases in the order of their digest, without those of which a gold file already has its share. One pass over each repository, in order; state is a count for each file."""
+
+    def run(pdf):
+        import pandas as pd
+
+        seen, out = {}, []
+        for r in pdf.sort_values("digest").itertuples():
+            if len(out) >= most_cases:
+                break
+            if any(seen.get(g, 0) >= most_per_file for g in r.gold):
+                continue
+            for g in r.gold:
+                seen[g] = seen.get(g, 0) + 1
+            out.append((r.id, r.repo, len(out)))
+        return pd.DataFrame(out, columns=["id", "repo", "pos"])
+
+    # A repository's commits are one group: the choice is sequential, and rows are ids and paths only.
+    return cases.select("id", "repo", "gold", "digest").groupBy("repo").applyInPandas(lambda pdf: run(pdf), "id string, repo string, pos int")
+
+
+def audited(cases: DataFrame, labels: DataFrame, fair: str) -> DataFrame:
+    """cases that a review calls fair. Fails unless every case has exactly one label, and every label a case. cases: id, …; labels: id, label."""
+    n = labels.groupBy("id").agg(F.count("*").alias("n"), F.max("label").alias("label"))
+    bad = cases.select("id", F.lit(1).alias("here")).join(n, "id", "full").where("here is null or n is null or n <> 1").limit(10).collect()
+    if bad:
+        raise ValueError(f"labels do not cover the cases exactly once: {sorted(str(r['id']) for r in bad)}")
+    return cases.join(n.where(F.col("label") == fair).select("id"), "id")

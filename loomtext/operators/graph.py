@@ -1,4 +1,4 @@
-"""Symbol graph: unique definers, references, target resolution, edges, propagation."""
+"""Symbols: unique definers, references, unique callers, the index of path endings."""
 
 from __future__ import annotations
 
@@ -14,12 +14,16 @@ def definers(symbols: DataFrame) -> DataFrame:
     return one.where("n = 1").select("symbol", "owner")
 
 
-def references(files: DataFrame, definers: DataFrame, most: int = 64) -> DataFrame:
-    """doc_id, symbol, owner: identifiers of a file that one other file defines, the first `most` by name."""
+def references(files: DataFrame, definers: DataFrame, most: int = 64, named: DataFrame | None = None) -> DataFrame:
+    """doc_id, symbol, owner: identifiers of a file that one other file defines; the first `most`, those that are named (symbol) before others, each by name."""
     used = files.select("doc_id", F.explode(T.identifier_runs(F.col("text"))).alias("symbol"))
     found = used.join(definers, "symbol").where("owner <> doc_id")
-    first = Window.partitionBy("doc_id").orderBy("symbol")
-    return found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("doc_id", "symbol", "owner")
+    order = [F.asc("symbol")]
+    if named is not None:
+        found = found.join(named.select("symbol").distinct().withColumn("first", F.lit(0)), "symbol", "left").withColumn("first", F.coalesce("first", F.lit(1)))
+        order = [F.asc("first"), *order]
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    return found.withColumn("k", k).where(F.col("k") <= most).select("doc_id", "symbol", "owner")
 
 
 def unique_callers(refs: DataFrame) -> DataFrame:
@@ -33,25 +37,3 @@ def suffix_index(files: DataFrame) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     one = files.select("doc_id", F.explode(ends).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     return one.select("suffix", "n", F.when(F.col("n") == 1, F.col("doc_id")).alias("doc_id"))
-
-
-def edges(refs: DataFrame, n_files: int) -> DataFrame:
-    """src, dst, weight (6 digits): the strongest link of each pair, by how rare its symbol is."""
-    df = refs.groupBy("symbol").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n_files) + 1) / (F.col("df") + 1)) + 1
-    weight = 0.36 + 0.64 * F.least(F.greatest((idf - 1) / 2.5, F.lit(0.0)), F.lit(1.0))
-    return refs.join(df, "symbol").groupBy(F.col("doc_id").alias("src"), F.col("owner").alias("dst")).agg(F.round(F.max(weight), 6).alias("weight"))
-
-
-def propagate(scores: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """doc_id, score (6 digits) after rounds in which files pass 0.31 of their score on along edges and 0.14 back, capped."""
-    now = scores.select("doc_id", F.col("score").cast("double").alias("score"))
-    base = now
-    for _ in range(rounds):
-        up = F.greatest(F.col("score"), F.lit(0.0)) * F.col("weight")
-        ahead = edges.join(now, edges["src"] == now["doc_id"]).groupBy("dst").agg(F.least(F.sum(up * 0.31), F.lit(1900.0)).alias("f"))
-        behind = edges.join(now, edges["dst"] == now["doc_id"]).groupBy("src").agg(F.least(F.sum(up * 0.14), F.lit(850.0)).alias("b"))
-        now = base.join(ahead, base["doc_id"] == ahead["dst"], "left").join(behind, base["doc_id"] == behind["src"], "left").select(
-            "doc_id", F.round(F.col("score") + F.coalesce("f", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 6).alias("score")
-        )
-    return now

@@ -5,33 +5,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import postings as P
+from .tables import stored
 
 K1, B = 1.2, 0.75
 #: Query terms up to which their table is broadcast.
 MOST_BROADCAST_TERMS = 200_000
 
 
-def bm25(posts: DataFrame, files: DataFrame, queries: DataFrame, fields: bool = True) -> DataFrame:
-    """query_id, doc_id, score (6 digits) of all documents with a term of the query. fields: with path and symbol bonuses."""
-    qt = P.query_terms(queries)
-    forms = qt.select("query_id", F.col("term").alias("qterm"), F.explode(F.array("term", "alt")).alias("term"))
-    used = posts if fields else posts.where("field = 'body'")
+def hits(files: DataFrame, vocabulary: DataFrame, fields: bool) -> DataFrame:
+    """doc_id, len, term, body, path, symbol: how often each document has each term of the vocabulary (term), from one pass over the texts.
+
+    Every document also has a row with an empty term, which carries its length:
+    its body terms and three times its path terms. files: doc_id, path, text,
+    symbols (array).
+    """
+    body = T.terms(F.col("text"))
+    path, symbol = (T.terms(F.col("path")), F.flatten(F.transform("symbols", T.terms))) if fields else (F.array().cast("array<string>"),) * 2
+    tagged = lambda words, field: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(field).alias("field")))
+    rows = files.select("doc_id", body.alias("b"), path.alias("p"), symbol.alias("s"))
+    rows = rows.select("doc_id", (F.size("b") + 3 * F.size("p")).cast("long").alias("len"), F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("field"))), tagged(F.col("b"), 1), tagged(F.col("p"), 2), tagged(F.col("s"), 3))).alias("w"))
+    rows = rows.select("doc_id", "len", "w.term", "w.field")
+    known = vocabulary.select("term").union(files.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    known = F.broadcast(known) if known.count() <= MOST_BROADCAST_TERMS else known
+    count = lambda k: F.sum(F.when(F.col("field") == k, 1).otherwise(0)).alias(("body", "path", "symbol")[k - 1])
+    return rows.join(known, "term").groupBy("doc_id", "len", "term").agg(count(1), count(2), count(3))
+
+
+def bm25(files: DataFrame, queries: DataFrame, fields: bool = True) -> DataFrame:
+    """query_id, doc_id, score (6 digits) of all documents with a term of the query. files: as for hits. fields: with path and symbol bonuses."""
+    forms = P.query_terms(queries).select("query_id", F.col("term").alias("qterm"), F.explode(F.array("term", "alt")).alias("term"))
+    found = stored(hits(files, forms.select("term"), fields), "hits")
+    n, mean = found.where("term = ''").agg(F.count("*"), F.greatest(F.avg("len"), F.lit(1.0))).first()
     small = forms.count() <= MOST_BROADCAST_TERMS
-    hit = used.join(F.broadcast(forms) if small else forms, "term").groupBy("query_id", "qterm", "doc_id").agg(
-        *(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).alias(f) for f in ("body", "path", "symbol"))
-    ).withColumn("tf", F.col("body") + 3 * F.col("path"))
-    df = hit.where("tf > 0").groupBy("query_id", "qterm").agg(F.count("*").alias("df"))
-    size = P.lengths(used, files)
-    n, mean = size.agg(F.count("*"), F.greatest(F.avg("len"), F.lit(1.0))).first()
+    hit = found.join(F.broadcast(forms) if small else forms, "term").groupBy("query_id", "qterm", "doc_id", "len").agg(*(F.sum(f).alias(f) for f in ("body", "path", "symbol"))).withColumn("tf", F.col("body") + 3 * F.col("path"))
+    df = hit.where("tf > 0").groupBy("query_id", "qterm").agg(F.count("*").alias("df"))  # a row for each query term
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
     if fields:
         score = score + F.when(F.col("path") > 0, 2 * idf).otherwise(0) + F.when(F.col("symbol") > 0, idf).otherwise(0)
-    rows = hit.join(df, ["query_id", "qterm"], "left").withColumn("df", F.coalesce("df", F.lit(0))).join(size, "doc_id")
+    rows = hit.join(F.broadcast(df) if small else df, ["query_id", "qterm"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
 
 
+def tiers(files: DataFrame, contexts: DataFrame, callers: DataFrame) -> DataFrame:
+    """query_id, doc_id, tier of files that a query names: 4 a path that the query names, 3 a definition of a symbol it names, 2 the only file that refers to such a symbol, 1 an open path.
+
+    files: doc_id, path, symbols. contexts: query_id, mentioned_paths,
+    mentioned_symbols, open_paths. callers: symbol, caller, with the symbols' own
+    spelling. All are equi-joins; a file has the highest of its tiers.
+    """
+    at = files.select("doc_id", T.normal_path(F.col("path")).alias("key"))
+    defined = files.select("doc_id", F.explode(F.array_distinct(F.transform("symbols", T.normal_identifier))).alias("key"))
+    named = lambda column, normal: contexts.select("query_id", F.explode(F.array_distinct(F.transform(column, normal))).alias("key"))
+    plain = lambda x: x
+    found = [
+        (4, named("mentioned_paths", T.normal_path).join(at, "key")), (3, named("mentioned_symbols", T.normal_identifier).join(defined, "key")),
+        (2, named("mentioned_symbols", plain).join(callers.select(F.col("symbol").alias("key"), F.col("caller").alias("doc_id")), "key")), (1, named("open_paths", T.normal_path).join(at, "key")),
+    ]
+    every = None
+    for tier, rows in found:
+        rows = rows.select("query_id", "doc_id", F.lit(tier).alias("tier"))
+        every = rows if every is None else every.union(rows)
+    return every.groupBy("query_id", "doc_id").agg(F.max("tier").alias("tier"))
+
+
+def shortlist(files: DataFrame, contexts: DataFrame, most: int = 3000) -> DataFrame:
+    """query_id, doc_id, path, score, place: a query's best files by what their paths tell.
+
+    A stated set of queries stands, as a block, beside each file. files: doc_id,
+    path, changed. contexts: query_id, query, mentioned_paths, mentioned_symbols,
+    open_paths.
+    """
+    low = lambda column: F.transform(column, lambda p: F.lower(T.normal_path(p)))
+    q = contexts.select("query_id", T.shortlist_words(F.concat_ws(" ", "query", "mentioned_symbols")).alias("words"), low("mentioned_paths").alias("named"), low("open_paths").alias("open"))
+    block = q.agg(F.collect_list(F.struct("query_id", "words", "named", "open")).alias("block"))
+    path = F.lower("path")
+    rows = files.select("doc_id", "path", "changed").crossJoin(F.broadcast(block)).select("doc_id", "path", "changed", F.explode("block").alias("q"))
+    is_at = lambda paths: F.exists(paths, lambda p: (p != "") & ((path == p) | path.endswith(F.concat(F.lit("/"), p))))
+    hits = F.size(F.filter("q.words", lambda w: path.contains(w)))
+    inside = F.concat(F.lit("/"), path)
+    # The weights of the shortlist.
+    score = (
+        F.when(is_at(F.col("q.named")), 1_000_000).otherwise(0) + F.when(is_at(F.col("q.open")), 800_000).otherwise(0) + F.when(F.col("changed"), 600_000).otherwise(0) + 12_000 * hits
+        + F.when(F.regexp_extract("path", "[^/]*$", 0).isin("main.rs", "lib.rs", "index.ts"), 800).otherwise(0) + F.when(inside.contains("/src/"), 240).otherwise(0) + F.when(inside.contains("/agent/"), 180).otherwise(0)
+        - F.when((hits == 0) & path.rlike("/(test|tests|fixtures|examples|docs)/"), 320).otherwise(0) - 4 * F.least(F.size(F.split("path", "/")) - 1, F.lit(40))
+    )
+    rows = rows.select(F.col("q.query_id").alias("query_id"), "doc_id", "path", score.cast("long").alias("score"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))).where(F.col("place") <= most)
+
+
 def with_prior(scores: DataFrame, files: DataFrame) -> DataFrame:
     """Scores with 2 more for changed files."""
     more = F.when(F.col("changed"), 2.0).otherwise(0.0)
@@ -44,21 +108,40 @@ def total_order(rows: DataFrame, by: str = "query_id") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def pack_skip(ranked: DataFrame, by: str, budget: int, stop: bool = False) -> DataFrame:
-    """Rows taken in rank order as long as they fit; one that doesn't is skipped (or, with stop, ends it).
+def pack_skip(ranked: DataFrame, by: str, budget: int, stop: bool = False, chunk: int = 1000) -> DataFrame:
+    """by, pos, doc_id: rows taken in rank order as long as they fit; one that doesn't is skipped (or, with stop, ends it).
 
-    The fold carries what is left; only rows that could ever fit are folded.
+    A round folds each query's next `chunk` rows that still fit, so no query's
+    whole ranking is gathered anywhere; rows that don't fit any more never will.
+    Rounds end when none is left. State is a row for each query.
     """
-    fit = ranked if stop else ranked.where(F.col("tokens") <= budget)
-    init = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(True).alias("open"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc, x):
-        ok = acc["open"] & (x["tokens"] <= acc["left"])
-        return F.struct(
-            (acc["left"] - F.when(ok, x["tokens"]).otherwise(0)).alias("left"),
-            (acc["open"] & (ok | F.lit(not stop))).alias("open"),
-            F.when(ok, F.array_append(acc["taken"], x["doc_id"])).otherwise(acc["taken"]).alias("taken"),
-        )
-
-    rows = fit.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "tokens", "doc_id"))).alias("rows"))
-    return rows.select(by, F.posexplode(F.aggregate("rows", init, step)["taken"]).alias("pos", "doc_id"))
+    spark = ranked.sparkSession
+    rows = stored(ranked.select(by, "rank", "tokens", "doc_id"), "ranked")
+    kind = rows.schema[by].dataType.simpleString()
+    state = rows.select(by).distinct().select(by, F.lit(budget).cast("long").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    out = None
+    while True:
+        ahead = rows.join(state, by).where(F.col("rank") > F.col("at"))
+        if not stop:
+            ahead = ahead.where(F.col("tokens") <= F.col("left"))
+        k = F.row_number().over(Window.partitionBy(by).orderBy("rank"))
+        part = ahead.withColumn("k", k).where(F.col("k") <= chunk).groupBy(by, "left", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens", "doc_id"))).alias("rows"))
+        init = F.struct(F.col("left"), F.lit(True).alias("open"), F.array().cast("array<bigint>").alias("taken"))
+
+        def step(acc, x):
+            ok = acc["open"] & (x["tokens"] <= acc["left"])
+            return F.struct(
+                (acc["left"] - F.when(ok, x["tokens"]).otherwise(0)).alias("left"),
+                (acc["open"] & (ok | F.lit(not stop))).alias("open"),
+                F.when(ok, F.array_append(acc["taken"], x["doc_id"])).otherwise(acc["taken"]).alias("taken"),
+            )
+
+        done = part.select(by, "n", F.element_at("rows", -1)["rank"].cast("long").alias("at"), F.size("rows").alias("seen"), F.aggregate("rows", init, step).alias("f"))
+        done = stored(done.select(by, "n", "at", "seen", "f.left", "f.open", "f.taken"), "packed")
+        now = done.select(by, F.posexplode("taken").alias("p", "doc_id"), "n").select(by, (F.col("n") + F.col("p")).cast("int").alias("pos"), "doc_id")
+        out = now if out is None else out.union(now)
+        # A query goes on if its chunk was full and nothing ended it.
+        more = done.where((F.col("seen") == chunk) & F.col("open")).select(by, "left", "at", (F.col("n") + F.size("taken")).alias("n")).collect()  # a row for each query
+        if not more:
+            return out
+        state = spark.createDataFrame([tuple(r) for r in more], f"{by} {kind}, left long, at long, n long")

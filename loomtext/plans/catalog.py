@@ -14,6 +14,8 @@ from ..operators import graph as G
 from ..operators import overview as O
 from ..operators import postings as P
 from ..operators import ranking as R
+from ..operators import structural as S
+from ..operators.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +36,14 @@ SYMBOLS = "symbols AS MATERIALIZED (SELECT DISTINCT doc_id, symbol FROM (SELECT
 POSTS = "posts AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT doc_id, '{f}' AS field, term, count(*) AS tf FROM (SELECT doc_id, unnest({_terms(c)}) AS term FROM {t}) GROUP BY doc_id, term" for f, t, c in (("body", "files", "text"), ("path", "files", "path"), ("symbol", "symbols", "symbol"))
 ) + ")"
+TREE = """tree AS MATERIALIZED (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS home, regexp_extract(path, '[^/]*$') AS name FROM (SELECT doc_id, text, loc, 'pkg' || (doc_id % 5) || '/g' || (doc_id // 300) || '/'
+  || ['src/', 'src/bin/', 'tests/', 'lib/', 'docs/examples/', ''][1 + (doc_id // 5) % 6] || ['main', 'cli', 'util', 'index', 'server', 'test_io', 'app.test', 'mod', '__main__', 'core'][1 + (doc_id // 30) % 10] || '.' || ['rs', 'py', 'ts', 'go', 'c', 'js', 'java'][1 + doc_id % 7] AS path FROM files))"""
+DEFS = "defs AS MATERIALIZED (SELECT doc_id, symbol, ['fn', 'struct', 'def', 'class', 'const', 'trait', 'func'][1 + length(symbol) % 7] AS kind FROM symbols)"
+IMPORTS = """imports AS MATERIALIZED (SELECT doc_id, unnest(['./util', '../src/' || ['main', 'cli', 'util', 'index', 'server', 'test_io', 'app.test', 'mod', '__main__', 'core'][1 + doc_id % 10], 'no::such']) AS import,
+  unnest([home || '/util', regexp_extract(home, '^(.*)/[^/]*$', 1) || '/src/' || ['main', 'cli', 'util', 'index', 'server', 'test_io', 'app.test', 'mod', '__main__', 'core'][1 + doc_id % 10], 'no/such']) AS base FROM tree),
+resolved AS MATERIALIZED (SELECT i.doc_id, import, coalesce(target, import) AS target FROM imports i LEFT JOIN (SELECT doc_id, import AS imp, arg_min(path, k) AS target FROM (
+  SELECT i.doc_id, import, base || e.ending AS path, e.k FROM imports i, (SELECT unnest(['', '.rs', '.ts', '.tsx', '.js', '.py', '/mod.rs', '/index.ts', '/index.tsx', '/index.js']) AS ending, unnest(range(10)) AS k) e) JOIN (SELECT DISTINCT path FROM tree) USING (path) GROUP BY 1, 2) t ON t.doc_id = i.doc_id AND imp = import)"""
+ROOTS = "roots AS (SELECT DISTINCT regexp_extract(home, '^pkg[012]/g[0-9]+') AS directory FROM tree WHERE regexp_extract(home, '^pkg[012]/g[0-9]+') <> '')"
 QUERY = "queries AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 8), ' ') AS query, text AS passage FROM benchmark)"
 ALT = "CASE WHEN length(term) >= 4 AND ends_with(term, 's') AND NOT ends_with(term, 'ss') THEN left(term, length(term) - 1) ELSE term || 's' END"
 QTERMS = f"qterms AS (SELECT query_id, term, {ALT} AS alt FROM (SELECT query_id, unnest(list_distinct({_terms('query')})) AS term FROM queries))"
@@ -43,8 +53,12 @@ DEFINERS = f"definers AS MATERIALIZED (SELECT symbol, min(doc_id) AS owner FROM
 RUNS = "list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda w: length(w) BETWEEN 2 AND 128))"
 REFS = f"""refs AS MATERIALIZED (SELECT doc_id, symbol, owner FROM (SELECT u.doc_id, u.symbol, owner, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.symbol) AS k
   FROM (SELECT doc_id, unnest({RUNS}) AS symbol FROM files) u JOIN definers USING (symbol) WHERE owner <> u.doc_id) WHERE k <= 64)"""
-EDGES = """edges AS MATERIALIZED (SELECT doc_id AS src, owner AS dst, round(max(0.36 + 0.64 * least(greatest((ln(((SELECT count(*) FROM files) + 1) / (df + 1)) + 1 - 1) / 2.5, 0), 1)), 6) AS weight
-  FROM refs JOIN (SELECT symbol, count(*) AS df FROM refs GROUP BY symbol) USING (symbol) GROUP BY doc_id, owner)"""
+CONTEXT = """contexts AS MATERIALIZED (SELECT q.query_id, q.query, a.path AS named_path, b.path AS open_path FROM queries q LEFT JOIN files a ON a.doc_id = q.query_id LEFT JOIN files b ON b.doc_id = q.query_id + 1),
+named AS MATERIALIZED (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(query, '[^A-Za-z0-9_]+'), lambda w: length(w) BETWEEN 2 AND 128))) AS symbol FROM queries)"""
+CALLERS = "callers AS (SELECT symbol, min(doc_id) AS caller FROM refs GROUP BY symbol HAVING count(*) = 1)"
+TIERS = """tiers AS MATERIALIZED (SELECT query_id, doc_id, max(tier) AS tier FROM (
+  SELECT query_id, doc_id, 4 AS tier FROM contexts JOIN files ON path = named_path UNION ALL SELECT query_id, doc_id, 1 FROM contexts JOIN files ON path = open_path
+  UNION ALL SELECT query_id, doc_id, 3 FROM named JOIN symbols ON lower(symbols.symbol) = lower(named.symbol) UNION ALL SELECT query_id, caller, 2 FROM named JOIN callers USING (symbol)) GROUP BY 1, 2)"""
 _POST = f"{FILES}, {SYMBOLS}, {POSTS}"
 _GRAPH = f"{FILES}, {SYMBOLS}, {DEFINERS}, {REFS}"
 
@@ -62,8 +76,8 @@ scores AS MATERIALIZED (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf
   FROM hit JOIN idfs USING (query_id, qterm) JOIN sizes USING (doc_id) GROUP BY query_id, doc_id)"""
 
 
-RANKED = """ranked AS MATERIALIZED (SELECT s.query_id, s.doc_id, tier, s.score, tokens, row_number() OVER (PARTITION BY s.query_id ORDER BY tier DESC, s.score DESC, entrypoint DESC, loc DESC, path, s.doc_id) AS rank
-  FROM (SELECT *, CASE WHEN doc_id % 101 = query_id % 101 THEN 4 WHEN doc_id % 103 = query_id % 103 THEN 1 ELSE 0 END AS tier FROM scores) s JOIN files USING (doc_id))"""
+RANKED = f"""{DEFINERS}, {REFS}, {CALLERS}, {CONTEXT}, {TIERS}, every AS MATERIALIZED (SELECT query_id, doc_id, coalesce(score, 0) AS score, coalesce(tier, 0) AS tier FROM scores FULL JOIN tiers USING (query_id, doc_id)),
+ranked AS MATERIALIZED (SELECT query_id, doc_id, tier, score, tokens, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, score DESC, entrypoint DESC, loc DESC, path, doc_id) AS rank FROM every JOIN files USING (doc_id))"""
 GOLD = "gold AS MATERIALIZED (SELECT query_id, doc_id FROM files JOIN queries ON contains(text, passage))"
 METRICS = """results AS MATERIALIZED (SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg10, round(coalesce(h1, 0) / n, 6) AS r1, round(coalesce(h5, 0) / n, 6) AS r5,
   round(coalesce(h10, 0) / n, 6) AS r10, round(coalesce(1.0 / best, 0), 6) AS mrr FROM (SELECT query_id, count(*) AS n FROM gold GROUP BY 1)
@@ -95,22 +109,22 @@ def refs(spark, d):
 
 
 def scores(spark, d, fields=True):
-    f, p = posts(spark, d)
-    return f, R.bm25(p, f, corpus.queries(spark, d), fields)
+    f = corpus.with_symbols(files(spark, d))
+    return f, R.bm25(f, corpus.queries(spark, d), fields)
 
 
 def ranked(spark, d):
-    """Scores in total order, with documents that a query names (tier 4) or has open (tier 1)."""
+    """All documents with a term of a query or that it names in another way, in total order."""
     f, s = scores(spark, d)
-    tier = F.when(F.col("doc_id") % 101 == F.col("query_id") % 101, 4).when(F.col("doc_id") % 103 == F.col("query_id") % 103, 1).otherwise(0)
-    return R.total_order(s.withColumn("tier", tier).join(f.drop("text"), "doc_id"))
+    callers = G.unique_callers(refs(spark, d)[1])
+    named = R.tiers(f, corpus.contexts(spark, d), callers)
+    rows = s.join(named, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("tier", F.lit(0)).alias("tier"))
+    return R.total_order(rows.join(f.drop("text", "symbols"), "doc_id"))
 
 
 def gold(spark, d):
-    """query_id, doc_id of the documents that hold a query's passage: the passages, in their stated query set, against all rows."""
-    q = corpus.queries(spark, d)
-    f = files(spark, d)
-    return f.join(F.broadcast(q), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    """query_id, doc_id of the documents that hold a query's passage."""
+    return E.holders(files(spark, d).select("doc_id", "text"), corpus.queries(spark, d).select("query_id", "passage"))
 
 
 @query(f"WITH {FILES} SELECT doc_id, path, language, length(text) AS chars, loc, changed, entrypoint, tokens FROM files")
@@ -164,12 +178,6 @@ def query_terms(spark, d):
     return P.query_terms(corpus.queries(spark, d))
 
 
-@query(f"WITH {_POST} SELECT term, round(ln(((SELECT count(*) FROM files) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM posts WHERE field <> 'symbol' GROUP BY term")
-def structural_idf(spark, d):
-    f, p = posts(spark, d)
-    return P.document_frequency(p).select("term", F.round(F.log((F.lit(f.count()) + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
-
-
 @query(f"WITH {_POST} SELECT term, round(ln(1 + ((SELECT count(*) FROM files) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)), 6) AS idf FROM posts WHERE field <> 'symbol' GROUP BY term")
 def bm25_idf(spark, d):
     f, p = posts(spark, d)
@@ -208,29 +216,38 @@ def legacy_order(spark, d):
     return files(spark, d).select("doc_id", "language", F.row_number().over(w).alias("rank"))
 
 
-@query(f"WITH {FILES} SELECT doc_id, path, CAST(CASE WHEN changed THEN 600000 ELSE 0 END + CASE WHEN entrypoint THEN 800 ELSE 0 END + CASE WHEN contains(path, 'src1') THEN 12000 ELSE 0 END - 4 * least(length(path) - length(replace(path, '/', '')), 40) AS BIGINT) AS score FROM files ORDER BY score DESC, path LIMIT 200")
+SHORT = f"""{FILES}, {SYMBOLS}, {QUERY}, {CONTEXT}, words AS MATERIALIZED (SELECT DISTINCT query_id, word FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS word FROM queries
+  UNION ALL SELECT query_id, unnest(regexp_split_to_array(lower(symbol), '[^a-z0-9]+')) FROM named) WHERE length(word) > 1),
+term_hits AS MATERIALIZED (SELECT query_id, doc_id, count(*) AS n FROM words, files WHERE contains(lower(path), word) GROUP BY 1, 2),
+listed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS place FROM (SELECT c.query_id, f.doc_id, f.path,
+  CAST(CASE WHEN named_path IS NOT NULL AND (lower(f.path) = lower(named_path) OR ends_with(lower(f.path), '/' || lower(named_path))) THEN 1000000 ELSE 0 END + CASE WHEN open_path IS NOT NULL AND (lower(f.path) = lower(open_path) OR ends_with(lower(f.path), '/' || lower(open_path))) THEN 800000 ELSE 0 END
+  + CASE WHEN changed THEN 600000 ELSE 0 END + 12000 * coalesce(n, 0) + CASE WHEN regexp_extract(f.path, '[^/]*$') IN ('main.rs', 'lib.rs', 'index.ts') THEN 800 ELSE 0 END + CASE WHEN lower('/' || f.path) LIKE '%/src/%' THEN 240 ELSE 0 END
+  + CASE WHEN lower('/' || f.path) LIKE '%/agent/%' THEN 180 ELSE 0 END - CASE WHEN coalesce(n, 0) = 0 AND regexp_matches(lower(f.path), '/(test|tests|fixtures|examples|docs)/') THEN 320 ELSE 0 END
+  - 4 * least(length(f.path) - length(replace(f.path, '/', '')), 40) AS BIGINT) AS score FROM contexts c CROSS JOIN files f LEFT JOIN term_hits h ON h.query_id = c.query_id AND h.doc_id = f.doc_id))"""
+
+
+@query(f"WITH {SHORT} SELECT query_id, doc_id, path, score, CAST(place AS INTEGER) AS place FROM listed WHERE place <= 50")
 def shortlist_topk(spark, d):
-    hits = F.when(F.col("changed"), 600_000).otherwise(0) + F.when(F.col("entrypoint"), 800).otherwise(0) + F.when(F.col("path").contains("src1"), 12_000).otherwise(0)
-    score = hits - 4 * F.least(F.size(F.split("path", "/")) - 1, F.lit(40))
-    return files(spark, d).select("doc_id", "path", score.cast("long").alias("score")).orderBy(F.desc("score"), "path").limit(200)
+    """The limit is a parameter of the shortlist; here it is low enough to matter."""
+    return R.shortlist(files(spark, d), corpus.contexts(spark, d), 50)
 
 
 def _pack_sql(stop: bool) -> str:
     keep = "open AND r.tokens <= p.left_" if stop else "r.tokens <= p.left_"
-    return f"""WITH RECURSIVE {_bm25(True)}, {RANKED}, top AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= 200),
-pack AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST(4096 AS BIGINT) AS left_, true AS open, CAST(NULL AS BIGINT) AS doc_id FROM (SELECT DISTINCT query_id FROM top)
-  UNION ALL SELECT p.query_id, k + 1, CASE WHEN {keep} THEN left_ - r.tokens ELSE left_ END, open AND r.tokens <= left_, CASE WHEN {keep} THEN r.doc_id END FROM pack p JOIN top r ON r.query_id = p.query_id AND r.rank = p.k + 1)
+    return f"""WITH RECURSIVE {_bm25(True)}, {RANKED},
+pack AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST(4096 AS BIGINT) AS left_, true AS open, CAST(NULL AS BIGINT) AS doc_id FROM (SELECT DISTINCT query_id FROM ranked)
+  UNION ALL SELECT p.query_id, k + 1, CASE WHEN {keep} THEN left_ - r.tokens ELSE left_ END, open AND r.tokens <= left_, CASE WHEN {keep} THEN r.doc_id END FROM pack p JOIN ranked r ON r.query_id = p.query_id AND r.rank = p.k + 1)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k) - 1 AS INTEGER) AS pos, doc_id FROM pack WHERE doc_id IS NOT NULL"""
 
 
 @query(_pack_sql(False))
 def pack_skip(spark, d):
-    return R.pack_skip(ranked(spark, d).where("rank <= 200"), "query_id", 4096)
+    return R.pack_skip(ranked(spark, d), "query_id", 4096)
 
 
 @query(_pack_sql(True))
 def budget_prefix(spark, d):
-    return R.pack_skip(ranked(spark, d).where("rank <= 200"), "query_id", 4096, stop=True)
+    return R.pack_skip(ranked(spark, d), "query_id", 4096, stop=True)
 
 
 @query(f"WITH {FILES}, {SYMBOLS}, {DEFINERS} SELECT * FROM definers")
@@ -253,33 +270,93 @@ def suffix_index(spark, d):
     return G.suffix_index(files(spark, d))
 
 
-@query(f"WITH {_GRAPH}, {EDGES} SELECT * FROM edges")
-def edges(spark, d):
-    f, r = refs(spark, d)
-    return G.edges(r, f.count())
-
-
-@query(f"WITH {_GRAPH}, {EDGES} SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)")
-def adjacency(spark, d):
-    f, r = refs(spark, d)
-    e = G.edges(r, f.count())
-    return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct()
+_TOKENS = lambda x: f"list_filter(list_transform(regexp_split_to_array(regexp_replace({x}, '{CUT1}', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)), lambda w: w <> '')"
+STRUCT = f"""{_GRAPH}, {QUERY}, {CONTEXT}, low AS MATERIALIZED (SELECT DISTINCT doc_id, lower(symbol) AS ident FROM symbols), calls AS MATERIALIZED (SELECT DISTINCT doc_id, lower(symbol) AS ident FROM refs),
+path_ids AS MATERIALIZED (SELECT DISTINCT doc_id, ident FROM (SELECT doc_id, lower(path) AS ident FROM files UNION ALL SELECT doc_id, unnest({_TOKENS('path')}) FROM files)),
+ids AS MATERIALIZED (SELECT DISTINCT doc_id, ident FROM (SELECT * FROM path_ids UNION ALL SELECT * FROM low UNION ALL SELECT doc_id, unnest({_TOKENS('symbol')}) FROM symbols UNION ALL SELECT * FROM calls UNION ALL SELECT doc_id, unnest({_TOKENS('ident')}) FROM calls)),
+total AS (SELECT count(*) AS n FROM files), sidf AS MATERIALIZED (SELECT ident, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT ident, count(*) AS df FROM ids GROUP BY ident), total)"""
+TARGETS = """by_path AS (SELECT path AS key, count(*) AS n, min(doc_id) AS doc FROM files GROUP BY path), by_symbol AS (SELECT ident AS key, count(*) AS n, min(doc_id) AS doc FROM low GROUP BY ident),
+by_end AS (SELECT key, count(*) AS n, min(doc_id) AS doc FROM (SELECT doc_id, array_to_string(list_slice(p, i, len(p)), '/') AS key FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(path, '/') AS p FROM files))) GROUP BY key),
+meant AS MATERIALIZED (SELECT * FROM (SELECT c.doc_id AS src, c.ident AS target, CASE WHEN p.n IS NOT NULL THEN CASE WHEN p.n = 1 THEN p.doc END WHEN s.n = 1 THEN s.doc WHEN e.n = 1 THEN e.doc END AS dst
+  FROM calls c LEFT JOIN by_path p ON p.key = c.ident LEFT JOIN by_symbol s ON s.key = c.ident LEFT JOIN by_end e ON e.key = c.ident) WHERE dst IS NOT NULL)"""
+SEDGES = f"""rare AS MATERIALIZED (SELECT target, max(idf) AS t FROM (SELECT target, target AS ident FROM meant UNION ALL SELECT target, unnest({_TOKENS('target')}) FROM meant) JOIN sidf USING (ident) GROUP BY target),
+edges AS MATERIALIZED (SELECT src, dst, max(0.36 + 0.64 * least(greatest((greatest(t, coalesce(s, 0)) - 1) / 2.5, 0), 1)) AS weight FROM meant JOIN rare USING (target) LEFT JOIN (SELECT doc_id AS dst, max(idf) AS s FROM low JOIN sidf USING (ident) GROUP BY 1) USING (dst) WHERE src <> dst GROUP BY 1, 2)"""
+WORTH = """worth AS MATERIALIZED (SELECT doc_id, CASE WHEN changed THEN 900 ELSE 0 END + CASE WHEN entrypoint THEN 180 ELSE 0 END + least(24 * coalesce(rare, 0), 600) - 26 * least(coalesce(common, 0), 24) - 1.35 * sqrt(tokens) AS worth
+  FROM files LEFT JOIN (SELECT doc_id, sum(idf) AS rare, sum(greatest(1.30 - idf, 0)) AS common FROM low JOIN sidf USING (ident) GROUP BY doc_id) USING (doc_id))"""
+ASKED = f"""terms AS MATERIALIZED (SELECT DISTINCT query_id, ident FROM (SELECT query_id, unnest({_TOKENS('query')}) AS ident FROM queries UNION ALL SELECT query_id, lower(trim(query)) FROM queries WHERE trim(query) <> '' AND NOT regexp_matches(trim(query), '\\s')) JOIN sidf USING (ident)),
+names AS MATERIALIZED (SELECT query_id, ident, coalesce(idf, ln((SELECT n FROM total) + 1) + 1) AS idf FROM (SELECT DISTINCT query_id, lower(symbol) AS ident FROM named) LEFT JOIN sidf USING (ident)),
+gains AS MATERIALIZED (SELECT query_id, doc_id, sum(v) AS v FROM (SELECT query_id, doc_id, 330 * idf AS v FROM terms JOIN sidf USING (ident) JOIN ids USING (ident) UNION ALL SELECT query_id, doc_id, 5000 * idf FROM terms JOIN sidf USING (ident) JOIN path_ids USING (ident)
+  UNION ALL SELECT query_id, doc_id, 1050 * idf FROM terms JOIN sidf USING (ident) JOIN low USING (ident) UNION ALL SELECT query_id, doc_id, 8000 + 450 * idf FROM names JOIN low USING (ident)
+  UNION ALL SELECT n.query_id, c.doc_id, 4200 + 240 * n.idf FROM names n JOIN calls c USING (ident) JOIN (SELECT ident FROM calls GROUP BY ident HAVING count(*) = 1) USING (ident) WHERE NOT EXISTS (SELECT 1 FROM low WHERE low.doc_id = c.doc_id AND low.ident = n.ident)
+  UNION ALL SELECT query_id, doc_id, 12000 FROM contexts JOIN files ON path = named_path UNION ALL SELECT query_id, doc_id, 1100 FROM contexts JOIN files ON path = open_path) GROUP BY 1, 2)"""
 
 
 def _rounds(n: int) -> str:
-    out = ["r0 AS (SELECT doc_id, CAST(loc AS DOUBLE) AS score FROM files)"]
+    out = ["r0 AS (SELECT doc_id, worth AS score FROM worth)"]
     for i in range(n):
-        out.append(f"""r{i + 1} AS MATERIALIZED (SELECT r0.doc_id, round(r0.score + coalesce(f, 0) + coalesce(b, 0), 6) AS score FROM r0
+        out.append(f"""r{i + 1} AS MATERIALIZED (SELECT r{i}.doc_id, r{i}.score + coalesce(f, 0) + coalesce(b, 0) AS score FROM r{i}
   LEFT JOIN (SELECT dst AS doc_id, least(sum(greatest(score, 0) * weight * 0.31), 1900) AS f FROM edges JOIN r{i} ON src = r{i}.doc_id GROUP BY dst) USING (doc_id)
   LEFT JOIN (SELECT src AS doc_id, least(sum(greatest(score, 0) * weight * 0.14), 850) AS b FROM edges JOIN r{i} ON dst = r{i}.doc_id GROUP BY src) USING (doc_id))""")
     return ", ".join(out)
 
 
-@query(f"WITH {_GRAPH}, {EDGES}, {_rounds(2)} SELECT doc_id, round(score, 3) AS score FROM r2")
-def propagate(spark, d):
+def facts(spark, d):
+    """Documents as facts of one tree: their references are the identifiers that one other document defines."""
     f, r = refs(spark, d)
-    e = G.edges(r, f.count())
-    return G.propagate(f.select("doc_id", F.col("loc").alias("score")), e, 2).select("doc_id", F.round("score", 3).alias("score"))
+    used = r.groupBy("doc_id").agg(F.array_sort(F.collect_set("symbol")).alias("references"))
+    none = F.array().cast("array<string>")
+    return corpus.with_symbols(f).join(used, "doc_id", "left").select(F.lit("t").alias("tree"), "doc_id", "path", "symbols", none.alias("imports"), F.coalesce("references", none).alias("references"), "tokens", "changed", "entrypoint")
+
+
+def asked(spark, d):
+    return corpus.contexts(spark, d).select(F.lit("t").alias("tree"), F.col("query_id").cast("string").alias("query_id"), "query", "mentioned_paths", "mentioned_symbols", "open_paths", F.lit(4096).cast("long").alias("budget"))
+
+
+def tree_of(spark, d):
+    return stored(S.normal_facts(facts(spark, d)), "facts")
+
+
+@query(f"WITH {STRUCT}, {TARGETS} SELECT src, target, dst FROM meant")
+def resolve_targets(spark, d):
+    return S.targets(tree_of(spark, d)).drop("tree")
+
+
+@query(f"WITH {STRUCT} SELECT ident AS term, round(idf, 6) AS idf FROM sidf")
+def structural_idf(spark, d):
+    return S.frequencies(tree_of(spark, d)).select(F.col("ident").alias("term"), F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {STRUCT}, {TARGETS}, {SEDGES} SELECT src, dst, round(weight, 6) AS weight FROM edges")
+def edges(spark, d):
+    f = tree_of(spark, d)
+    return S.edges(f, S.frequencies(f)).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {STRUCT}, {TARGETS}, {SEDGES} SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)")
+def adjacency(spark, d):
+    f = tree_of(spark, d)
+    e = S.targets(f).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return e.union(e.select("b", "a")).distinct()
+
+
+@query(f"WITH {STRUCT}, {TARGETS}, {SEDGES}, {WORTH}, {_rounds(4)} SELECT doc_id, round(score, 3) AS score FROM r4")
+def propagate4(spark, d):
+    """Files' worth without a question, passed on for four rounds."""
+    f = tree_of(spark, d)
+    idf = stored(S.frequencies(f), "idf")
+    worth = S.own_worth(f, idf).select("tree", F.lit("").alias("query_id"), "doc_id", F.col("worth").alias("score"))
+    return S.propagate(worth, S.edges(f, idf)).select("doc_id", F.round("score", 3).alias("score"))
+
+
+@query(f"WITH {STRUCT}, {WORTH}, {ASKED} SELECT CAST(query_id AS VARCHAR) AS query_id, doc_id, round(worth + coalesce(v, 0), 3) AS score FROM queries CROSS JOIN worth LEFT JOIN gains USING (query_id, doc_id)")
+def structural_scores(spark, d):
+    f = tree_of(spark, d)
+    return S.base_scores(f, asked(spark, d), stored(S.frequencies(f), "idf")).select("query_id", "doc_id", F.round("score", 3).alias("score"))
+
+
+@query()
+def coverage_pack(spark, d):
+    return S.pack(facts(spark, d), asked(spark, d)).drop("tree")
 
 
 @query(f"WITH {FILES} SELECT language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, CAST(floor(sum(loc) * 100 / greatest((SELECT sum(loc) FROM files), 1)) AS BIGINT) AS percent FROM files GROUP BY language ORDER BY loc DESC, language LIMIT 6")
@@ -287,38 +364,67 @@ def language_mix(spark, d):
     return O.language_mix(files(spark, d))
 
 
-@query(f"""WITH {FILES}, k AS (SELECT regexp_replace(path, '/[^/]*$', '') AS directory, regexp_extract(path, '[^/]*$') AS name, loc, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY loc DESC, path) AS k FROM files)
-SELECT directory, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, string_agg(name, ' ' ORDER BY k) FILTER (WHERE k <= 3) || CASE WHEN count(*) > 3 THEN ' +' || (count(*) - 3) ELSE '' END AS names FROM k GROUP BY directory""")
+@query(f"""WITH {FILES}, {TREE}, k AS (SELECT home, name, loc, regexp_extract(path, '\\.([^.]*)$', 1) AS ext, row_number() OVER (PARTITION BY home ORDER BY loc DESC, path) AS k FROM tree),
+d AS (SELECT home, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, CASE WHEN count(DISTINCT ext) = 1 THEN min(ext) ELSE '' END AS shared FROM k GROUP BY home)
+SELECT home AS directory, files, loc, CASE WHEN home = '' THEN '.' ELSE home || '/' END || ' (' || files || CASE WHEN shared <> '' THEN ', .' || shared ELSE '' END || '): '
+  || (SELECT string_agg(CASE WHEN shared <> '' THEN left(name, length(name) - length(shared) - 1) ELSE name END, ' ' ORDER BY k.k) FROM k WHERE k.home = d.home AND k.k <= 3) || CASE WHEN files > 3 THEN ' +' || (files - 3) ELSE '' END AS line FROM d""")
 def file_index(spark, d):
-    return O.directories(files(spark, d))
+    return O.directories(corpus.tree(spark, d))
 
 
-@query(f"WITH {FILES} SELECT doc_id, CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) LIKE '%/p3' THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE regexp_extract(path, '^[^/]*') END AS owner FROM files")
+@query(f"WITH {FILES}, {TREE} SELECT directory, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT loc, unnest(list_transform(range(0, len(p) + 1), lambda i: array_to_string(list_slice(p, 1, i), '/'))) AS directory FROM (SELECT loc, string_split(home, '/') AS p FROM tree)) GROUP BY directory")
+def directory_rollup(spark, d):
+    return O.rollup(corpus.tree(spark, d))
+
+
+@query(f"WITH {FILES}, {TREE} SELECT doc_id, CASE WHEN regexp_extract(home, '^pkg[012]/g[0-9]+') <> '' THEN regexp_extract(home, '^pkg[012]/g[0-9]+') ELSE regexp_extract(home, '^[^/]*') END AS owner FROM tree")
 def package_owner(spark, d):
-    f = files(spark, d)
-    return O.owners(f, f.select(F.regexp_replace("path", "/[^/]*$", "").alias("directory")).where("directory like '%/p3'").distinct())
+    f = corpus.tree(spark, d)
+    return O.owners(f, corpus.packages(f))
+
+
+@query(f"WITH {FILES}, {TREE} SELECT CASE WHEN regexp_extract(home, '^pkg[012]/g[0-9]+') <> '' THEN regexp_extract(home, '^pkg[012]/g[0-9]+') ELSE regexp_extract(home, '^[^/]*') END AS directory, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM tree GROUP BY 1")
+def layout_groups(spark, d):
+    """Packages, whatever the number of files (a parameter), so that SQL can express it."""
+    f = corpus.tree(spark, d)
+    return O.layout(f, corpus.packages(f), most_files=1 << 62)
 
 
-@query(f"WITH {_GRAPH} SELECT owner, count(DISTINCT doc_id) AS users FROM refs GROUP BY owner HAVING count(DISTINCT doc_id) >= 2 ORDER BY users DESC, owner LIMIT 8")
+@query()
+def layout_directories(spark, d):
+    """The layout without packages: top directories, the dominant ones split."""
+    f = corpus.tree(spark, d)
+    return O.layout(f.withColumn("path", F.concat(F.lit("root/"), "path")), corpus.packages(f).limit(0))
+
+
+@query(f"WITH {FILES}, {SYMBOLS}, {DEFINERS}, {REFS}, {TREE}, {DEFS}, {IMPORTS}, kin AS (SELECT doc_id, path, CASE WHEN path LIKE '%.ts' OR path LIKE '%.js' THEN 'web' ELSE regexp_extract(path, '[^.]*$') END AS family FROM tree)," + r"""
+users AS (SELECT DISTINCT owner, doc_id FROM (SELECT t.doc_id AS owner, r.doc_id FROM resolved r JOIN tree t ON t.path = r.target UNION ALL SELECT r.owner, r.doc_id FROM refs r JOIN defs d ON d.doc_id = r.owner AND d.symbol = r.symbol AND d.kind IN ('struct', 'class', 'trait')
+  JOIN kin a ON a.doc_id = r.doc_id JOIN kin b ON b.doc_id = r.owner AND a.family = b.family) WHERE owner <> doc_id)
+SELECT owner, path, count(*) AS users FROM users JOIN tree ON tree.doc_id = owner WHERE NOT regexp_matches('/' || lower(path), '/(tests|test|__tests__|fixtures|testdata|benches|examples)/') AND NOT regexp_matches(lower(name), '^test_|\.test\.|\.spec\.|_test\.go$|_tests\.rs$') GROUP BY owner, path HAVING count(*) >= 2 ORDER BY users DESC, path LIMIT 8""")
 def central_files(spark, d):
-    return O.central(refs(spark, d)[1])
+    return O.central(corpus.tree(spark, d), refs(spark, d)[1])
+
+
+@query(f"WITH {FILES}, {TREE}, {IMPORTS} SELECT doc_id, import, target FROM resolved")
+def resolve_imports(spark, d):
+    return O.resolve_imports(corpus.tree(spark, d))
 
 
-@query(f"WITH {FILES} SELECT doc_id, path, loc FROM files WHERE entrypoint")
+@query(f"WITH {FILES}, {TREE}, {ROOTS} SELECT doc_id, path, loc, CAST(length(path) - length(replace(path, '/', '')) AS INTEGER) AS depth FROM tree WHERE name IN ('main.rs', 'main.go', 'main.c', 'main.cc', 'main.cpp', '__main__.py', 'manage.py') OR home LIKE '%src/bin'" + r"""
+  OR (string_split(name, '.')[1] IN ('main', 'cli', 'server', 'app', 'index') AND (home IN (SELECT directory FROM roots) OR (home LIKE '%/src' AND left(home, length(home) - 4) IN (SELECT directory FROM roots))))""")
 def entry_points(spark, d):
-    return files(spark, d).where("entrypoint").select("doc_id", "path", "loc")
+    f = corpus.tree(spark, d)
+    return O.entry_points(f, corpus.packages(f))
 
 
-@query(r"SELECT page_id, regexp_matches(lower('/' || url), '/(tests?|testing|__tests__|specs?|fixtures|testdata)/|/test_[^/]*$|\.test\.|\.spec\.|_test\.go$|_tests\.rs$') AS test FROM pages")
+@query(f"WITH {FILES}, {TREE} SELECT doc_id, regexp_matches('/' || lower(path), '/(tests|test|__tests__|fixtures|testdata|benches|examples)/') OR starts_with(lower(name), 'test_') OR contains(lower(name), '.test.') OR contains(lower(name), '.spec.') OR ends_with(lower(name), '_test.go') OR ends_with(lower(name), '_tests.rs') AS test FROM tree")
 def test_like_paths(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.test_like(F.col("url")).alias("test"))
+    return corpus.tree(spark, d).select("doc_id", T.test_like(F.col("path")).alias("test"))
 
 
-@query(f"WITH {FILES}, {SYMBOLS} SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n < 8 THEN 1 ELSE 2 END AS class FROM files LEFT JOIN (SELECT doc_id, count(*) AS n FROM symbols GROUP BY doc_id) USING (doc_id)")
+@query(f"WITH {FILES}, {SYMBOLS}, {DEFS} SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n < 8 THEN 1 ELSE 2 END AS class FROM files LEFT JOIN (SELECT doc_id, count(*) AS n FROM defs WHERE kind IN ('fn', 'def', 'func') GROUP BY doc_id) USING (doc_id)")
 def substantive_class(spark, d):
-    f = files(spark, d)
-    n = corpus.symbols(f).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return f.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.when(F.coalesce("n", F.lit(0)) == 0, 0).when(F.col("n") < 8, 1).otherwise(2).alias("class"))
+    return corpus.tree(spark, d).select("doc_id", O.substantive(F.col("definitions")).alias("class"))
 
 
 _FLAT = "trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))"
@@ -353,10 +459,17 @@ def json_field(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query(f"WITH {FILES}, {SYMBOLS} SELECT doc_id, path || ' | ' || loc || ' LOC' || coalesce(' | ' || names, '') AS line FROM files LEFT JOIN (SELECT doc_id, string_agg(symbol, ' ' ORDER BY symbol) AS names FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY symbol) AS k FROM symbols) WHERE k <= 8 GROUP BY doc_id) USING (doc_id)")
+@query(f"WITH {FILES}, {SYMBOLS}, {TREE}, {DEFS} SELECT doc_id, path || ' | ' || loc || ' LOC' || coalesce(' | ' || names, '') AS line FROM tree LEFT JOIN (SELECT doc_id, string_agg(symbol, ' ' ORDER BY k) AS names FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind || ' ' || symbol) AS k FROM defs) WHERE k <= 8 GROUP BY doc_id) USING (doc_id)")
 def render_compact(spark, d):
-    f = files(spark, d)
-    return O.render(f, corpus.symbols(f))
+    return O.compact_line(corpus.tree(spark, d))
+
+
+@query(f"""WITH {FILES}, {SYMBOLS}, {DEFINERS}, {REFS}, {TREE}, {DEFS}, {IMPORTS}, rows AS (SELECT doc_id, 1 AS part, kind || ' ' || symbol AS item FROM defs UNION ALL SELECT DISTINCT doc_id, 2, import FROM imports UNION ALL SELECT DISTINCT doc_id, 3, symbol FROM refs),
+parts AS (SELECT doc_id, part, string_agg(item, '; ' ORDER BY k) AS items FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY item) AS k FROM rows) WHERE k <= [18, 12, 16][part] GROUP BY 1, 2)
+SELECT doc_id, path || ' | ' || loc || ' LOC' || chr(10) || coalesce('  defs: ' || a.items || chr(10), '') || coalesce('  imports: ' || b.items || chr(10), '') || coalesce('  refs: ' || c.items || chr(10), '') AS section
+FROM tree LEFT JOIN (SELECT * FROM parts WHERE part = 1) a USING (doc_id) LEFT JOIN (SELECT * FROM parts WHERE part = 2) b USING (doc_id) LEFT JOIN (SELECT * FROM parts WHERE part = 3) c USING (doc_id)""")
+def render_full(spark, d):
+    return O.full_section(corpus.tree(spark, d), refs(spark, d)[1])
 
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
@@ -393,11 +506,43 @@ def eval_percentile(spark, d):
     return E.nearest_rank(results(spark, d), "ndcg10", 0.5)
 
 
+@query(f"WITH {_EVAL} SELECT round(avg(m), 6) AS macro FROM (SELECT avg(ndcg10) AS m FROM results GROUP BY query_id % 3)")
+def eval_macro(spark, d):
+    return E.macro_mean(results(spark, d).withColumn("part", F.col("query_id") % 3), "part", "ndcg10")
+
+
+PLAIN = "plain AS MATERIALIZED (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"
+PAIRED = f"{_EVAL}, {PLAIN}, {METRICS.replace('results AS', 'others AS').replace('ranked JOIN', 'plain JOIN')}"
+
+
+def deltas(spark, d):
+    s = scores(spark, d)[1]
+    plain = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    g = stored(gold(spark, d), "gold")
+    return E.paired(E.metrics(plain.select("query_id", "doc_id", "rank"), g), E.metrics(ranked(spark, d).select("query_id", "doc_id", "rank"), g), "mrr")
+
+
+@query(f"WITH {PAIRED} SELECT query_id, round(r.mrr - o.mrr, 6) AS delta FROM results r JOIN others o USING (query_id)")
+def paired_delta(spark, d):
+    """What tiers add to the plain ranking."""
+    return deltas(spark, d)
+
+
+@query(f"WITH {PAIRED} SELECT count(*) AS n, round(avg(delta), 6) AS mean, count(*) FILTER (WHERE delta > 1e-9) AS wins, count(*) FILTER (WHERE abs(delta) <= 1e-9) AS ties, count(*) FILTER (WHERE delta < -1e-9) AS losses FROM (SELECT round(r.mrr - o.mrr, 6) AS delta FROM results r JOIN others o USING (query_id))")
+def win_tie_loss(spark, d):
+    return E.win_tie_loss(deltas(spark, d))
+
+
 @query()
 def bootstrap_ci(spark, d):
     return E.bootstrap(results(spark, d), "ndcg10")
 
 
+@query()
+def paired_bootstrap(spark, d):
+    return E.bootstrap(deltas(spark, d), "delta", 4000, 11)
+
+
 @query(f"WITH {_bm25(True)}, {RANKED} SELECT query_id, doc_id, round(sum(w / (60 + place)), 6) AS score FROM (SELECT query_id, doc_id, rank - 1 AS place, 1.0 AS w FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1, 0.5 FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50) GROUP BY 1, 2")
 def rrf_fusion(spark, d):
     r = ranked(spark, d).select("query_id", "doc_id", "rank", "score")
@@ -411,18 +556,65 @@ def hash_sample(spark, d):
     return files(spark, d).select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("digest")).orderBy("digest").limit(100)
 
 
-@query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1")
+CASES = """cases AS MATERIALIZED (SELECT conv_id || '-' || turn AS id, 'repo' || (conv_id % 4) AS repo, text AS query, list_sort(list_distinct(['src/area' || (conv_id % 11) || '/file' || (conv_id % 23) || '.rs', 'src/area' || (2 * conv_id % 11) || '/file' || (2 * conv_id % 23) || '.rs'])) AS gold,
+  sha256(conv_id || '-' || turn) AS digest FROM conversations)"""
+_WORDS = lambda x: f"list_filter(list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w: length(w) >= 3), lambda w: lower(w))), lambda w: w NOT IN ('src', 'lib', 'mod', 'index', 'main', 'the', 'and', 'for', 'with', 'from', 'into'))"
+
+
+@query(f"WITH {CASES}, g AS (SELECT id, repo, unnest(gold) AS path FROM cases), n AS (SELECT c.id, o.path, count(*) AS n FROM cases c JOIN g o ON o.repo = c.repo AND o.id <> c.id GROUP BY 1, 2) SELECT id, path, n, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, path) AS place FROM n) WHERE place <= 20")
+def hotfiles_prior(spark, d):
+    return E.hot_files(corpus.cases(spark, d))
+
+
+@query("SELECT * EXCLUDE (place), CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS place FROM (SELECT q.vec_id AS query_id, v.vec_id // 4 AS file, round(max(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)) WHERE place <= 20")
+def cosine_best_chunk(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return E.best_chunks(e.select(F.floor(F.col("vec_id") / 4).alias("file"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20)
+
+
+@query()
+def case_cap(spark, d):
+    return E.capped_cases(corpus.cases(spark, d))
+
+
+@query(f"WITH {CASES} SELECT id, len(list_intersect({_WORDS('query')}, {_WORDS("array_to_string(gold, ' ')")})) > 0 AS lexical FROM cases")
+def lexical_kind(spark, d):
+    return corpus.cases(spark, d).select("id", F.arrays_overlap(T.task_words(F.col("query")), T.task_words(F.array_join("gold", " "))).alias("lexical"))
+
+
+@query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1")
 def audit_filter(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("quality = 1").select("doc_id", "quality")
+    """Labelled documents as cases, their quality as the verdict; every one must have one label."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"))
+    cases = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id")).join(labels.select("id"), "id", "left_semi")
+    return E.audited(cases, labels, "1").select(F.col("id").alias("doc_id"))
+
+
+CHANGES = ("fix(core): ", "docs: ", "bench: ", "perf!: ", "test(x): ", "")
 
 
-@query(r"SELECT item_id, trim(regexp_replace(regexp_replace('fix(core): ' || text || ' (#12)', ' *\(#[0-9]+\)$', ''), '^(?:feat|fix|docs|chore|refactor|perf|test|build|ci|style)(?:\(([^)]*)\))?!?: *', '\1 ')) AS query FROM benchmark")
+@query(r"""SELECT item_id, CASE WHEN kind IN ('fix(core): ') THEN 'core: ' ELSE CASE WHEN kind IN ('docs: ', 'test(x): ') THEN kind ELSE '' END END || regexp_replace(text, '^\s+|\s+$', '', 'g') AS query FROM (SELECT item_id, text, ['fix(core): ', 'docs: ', 'bench: ', 'perf!: ', 'test(x): ', ''][1 + item_id % 6] AS kind FROM benchmark)""")
 def clean_query(spark, d):
-    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.clean_query(F.concat(F.lit("fix(core): "), "text", F.lit(" (#12)"))).alias("query"))
+    kind = F.element_at(F.array(*map(F.lit, CHANGES)), (F.col("item_id") % 6 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.clean_query(F.concat(kind, T.normal_space(F.col("text")), F.lit(" (#12)"))).alias("query"))
+
+
+@query(f"WITH {QUERY}, {QTERMS} SELECT DISTINCT term, alt FROM qterms")
+def plural_alternates(spark, d):
+    return P.query_terms(corpus.queries(spark, d)).select("term", "alt").distinct()
+
+
+@query(f"""WITH {FILES}, {SYMBOLS}, {DEFINERS}, {QUERY}, {CONTEXT}, known AS (SELECT DISTINCT symbol FROM named) SELECT doc_id, symbol, owner FROM (SELECT u.doc_id, u.symbol, owner, row_number() OVER (PARTITION BY u.doc_id ORDER BY known.symbol IS NULL, u.symbol) AS k
+  FROM (SELECT doc_id, unnest({RUNS}) AS symbol FROM files) u JOIN definers USING (symbol) LEFT JOIN known USING (symbol) WHERE owner <> u.doc_id) WHERE k <= 2""")
+def reference_cap(spark, d):
+    """With a limit low enough to matter: symbols that a query names come first."""
+    f = files(spark, d)
+    named = corpus.contexts(spark, d).select(F.explode("mentioned_symbols").alias("symbol"))
+    return G.references(f, G.definers(corpus.symbols(f)), 2, named)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rank all documents for a batch of queries, pack what fits, render it."""
     f = files(spark, sf_dir)
-    packed = R.pack_skip(ranked(spark, sf_dir).where("rank <= 200"), "query_id", 4096)
+    packed = R.pack_skip(ranked(spark, sf_dir), "query_id", 4096)
     return packed.join(O.render(f, corpus.symbols(f)), "doc_id").select("query_id", "pos", "doc_id", "line")
