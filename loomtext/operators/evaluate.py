@@ -19,13 +19,14 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     row: an equi-join on a run of them finds candidates, which are then compared.
     Passages of fewer words are found by their first bytes only if there are any.
     """
-    words = lambda c: F.split(c, "[ \\n]+")
-    run = lambda c, i: F.array_join(F.slice(words(c), i, RUN), " ")
+    words = lambda c: F.split(c, "[ \n]+")
     long = F.size(words("passage")) >= RUN + 2
-    keyed = passages.where(long).select("query_id", "passage", run("passage", F.lit(2)).alias("key"))
-    starts = F.sequence(F.lit(1), F.size(words("text")) - RUN + 1)
-    runs = docs.where(F.size(words("text")) >= RUN).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: run("text", i)))).alias("key"))
-    pairs = runs.join(keyed.select("query_id", "key"), "key").select("doc_id", "query_id")
+    keyed = passages.where(long).select("query_id", "passage", F.array_join(F.slice(words("passage"), 2, RUN), " ").alias("key"))
+    # Words beside those after them, so that a text is split once and not for each of its words.
+    cut = docs.select("doc_id", words("text").alias("w0"))
+    side = F.arrays_zip("w0", *(F.slice("w0", k + 1, 1 << 30).alias(f"w{k}") for k in range(1, RUN)))
+    runs = cut.select("doc_id", F.explode(side).alias("z")).select("doc_id", F.concat_ws(" ", *(F.col(f"z.{c}") for c in [f"w{k}" for k in range(RUN)])).alias("key"))
+    pairs = runs.join(keyed.select("query_id", "key"), "key").select("doc_id", "query_id").distinct()
     found = docs.join(pairs, "doc_id").join(passages, "query_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
     short = passages.where(~long)
     if short.limit(1).count():

@@ -18,35 +18,47 @@ def hits(files: DataFrame, vocabulary: DataFrame, fields: bool) -> DataFrame:
     """doc_id, len, term, body, path, symbol: how often each document has each term of the vocabulary (term), from one pass over the texts.
 
     Every document also has a row with an empty term, which carries its length:
-    its body terms and three times its path terms. files: doc_id, path, text,
+    its body terms and three times its path terms. Only terms of the vocabulary
+    are moved, once, to their document's partition. files: doc_id, path, text,
     symbols (array).
     """
     body = T.terms(F.col("text"))
     path, symbol = (T.terms(F.col("path")), F.flatten(F.transform("symbols", T.terms))) if fields else (F.array().cast("array<string>"),) * 2
-    tagged = lambda words, field: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(field).alias("field")))
-    rows = files.select("doc_id", body.alias("b"), path.alias("p"), symbol.alias("s"))
-    rows = rows.select("doc_id", (F.size("b") + 3 * F.size("p")).cast("long").alias("len"), F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("field"))), tagged(F.col("b"), 1), tagged(F.col("p"), 2), tagged(F.col("s"), 3))).alias("w"))
-    rows = rows.select("doc_id", "len", "w.term", "w.field")
+    rows = files.select("doc_id", body.alias("b"), path.alias("p"), symbol.alias("s")).withColumn("len", (F.size("b") + 3 * F.size("p")).cast("long"))
+    # One array of terms: its ends tell the field.
+    ends = (F.size("b"), F.size("b") + F.size("p"))
+    rows = rows.select("doc_id", "len", *(e.alias(n) for e, n in zip(ends, ("end_b", "end_p"))), F.posexplode(F.concat(F.col("b"), F.col("p"), F.col("s"), F.array(F.lit("")))).alias("at", "term"))
     known = vocabulary.select("term").union(files.sparkSession.createDataFrame([("",)], "term string")).distinct()
     known = F.broadcast(known) if known.count() <= MOST_BROADCAST_TERMS else known
+    in_body, in_path = F.col("at") < F.col("end_b"), F.col("at") < F.col("end_p")
+    field = F.when(in_body, 1).when(in_path, 2).otherwise(3)
+    rows = rows.join(known, "term").select("doc_id", "len", "term", field.alias("field")).repartition("doc_id")
     count = lambda k: F.sum(F.when(F.col("field") == k, 1).otherwise(0)).alias(("body", "path", "symbol")[k - 1])
-    return rows.join(known, "term").groupBy("doc_id", "len", "term").agg(count(1), count(2), count(3))
+    return rows.groupBy("doc_id", "len", "term").agg(count(1), count(2), count(3))
 
 
 def bm25(files: DataFrame, queries: DataFrame, fields: bool = True) -> DataFrame:
-    """query_id, doc_id, score (6 digits) of all documents with a term of the query. files: as for hits. fields: with path and symbol bonuses."""
-    forms = P.query_terms(queries).select("query_id", F.col("term").alias("qterm"), F.explode(F.array("term", "alt")).alias("term"))
-    found = stored(hits(files, forms.select("term"), fields), "hits")
-    n, mean = found.where("term = ''").agg(F.count("*"), F.greatest(F.avg("len"), F.lit(1.0))).first()
-    small = forms.count() <= MOST_BROADCAST_TERMS
-    hit = found.join(F.broadcast(forms) if small else forms, "term").groupBy("query_id", "qterm", "doc_id", "len").agg(*(F.sum(f).alias(f) for f in ("body", "path", "symbol"))).withColumn("tf", F.col("body") + 3 * F.col("path"))
-    df = hit.where("tf > 0").groupBy("query_id", "qterm").agg(F.count("*").alias("df"))  # a row for each query term
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
+    """query_id, doc_id, score (6 digits) of all documents with a term of the query. files: as for hits. fields: with path and symbol bonuses.
+
+    Counts, frequencies and the result are all read from the one exchange of
+    hits, which is by document, so that no later step moves them again. What a
+    term adds to a document is worked out once, however many queries have it.
+    """
+    asked = P.query_terms(queries)
+    small = asked.count() <= MOST_BROADCAST_TERMS
+    side = F.broadcast if small else (lambda x: x)
+    forms = asked.select(F.col("term").alias("qterm"), F.explode(F.array("term", "alt")).alias("term")).distinct()
+    found = hits(files, forms.select("term"), fields)
+    size = found.where("term = ''").agg(F.count("*").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))  # one row
+    hit = found.join(side(forms), "term").groupBy("qterm", "doc_id", "len").agg(*(F.sum(f).alias(f) for f in ("body", "path", "symbol"))).withColumn("tf", F.col("body") + 3 * F.col("path"))
+    df = hit.where("tf > 0").groupBy("qterm").agg(F.count("*").alias("df"))  # a row for each term that is asked for
+    rows = hit.join(side(df), "qterm", "left").crossJoin(F.broadcast(size))
+    idf = F.log(1 + (F.col("n_docs") - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
+    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     if fields:
-        score = score + F.when(F.col("path") > 0, 2 * idf).otherwise(0) + F.when(F.col("symbol") > 0, idf).otherwise(0)
-    rows = hit.join(F.broadcast(df) if small else df, ["query_id", "qterm"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+        score = score + F.when(F.col("path") > 0, 2 * F.col("idf")).otherwise(0) + F.when(F.col("symbol") > 0, F.col("idf")).otherwise(0)
+    rows = rows.withColumn("idf", idf).select("qterm", "doc_id", score.alias("adds"))
+    return rows.join(side(asked.select("query_id", F.col("term").alias("qterm"))), "qterm").groupBy("query_id", "doc_id").agg(F.round(F.sum("adds"), 6).alias("score"))
 
 
 def tiers(files: DataFrame, contexts: DataFrame, callers: DataFrame) -> DataFrame:
