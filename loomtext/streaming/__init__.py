@@ -1 +1 @@
-"""See the modules."""
+"""Tables that follow a growing folder."""
