@@ -300,7 +300,7 @@ def compare_edited(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame
     parts = max(scratch.partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     order = [F.desc("sid"), F.asc("h")]
     rows = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    rows = scratch.written(rows.mapInArrow(partial(_compared, rank=rank), f"{COMPARED}, {_ENDS}"), "ranges")
+    rows = scratch.written(rows.mapInArrow(partial(_compared, rank=rank), f"{COMPARED}, {_ENDS}"), "ranges", "zstd")
     names = [x.split()[0] for x in COMPARED.split(", ")]
     ends = rows.where("part is not null").select(*(x.split()[0] for x in _ENDS.split(", ")))
     used = sorted(r["part"] for r in ends.where("side = 0").select("part").collect())  # a number for each range

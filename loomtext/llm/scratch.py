@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a new table of the shared folder and reads it back."""
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Writes df to a new table of the shared folder and reads it back. codec: how it is compressed."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out, lambda _, k=id(out): _paths.pop(k, None)), path)
     return out
