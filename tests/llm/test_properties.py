@@ -264,7 +264,7 @@ def test_likeness_across_lengths(spark, tiny):
     of = lambda t: fingerprints.fingerprint(pa.array([t]), rank)[0]
     for n in (64, 95, 200, 400):
         assert np.mean([fingerprints.likeness(of(t[:n]), of(t[: n + 1])) for t in texts]) > 0.85, n
-    assert len(of("x")) == len(of("short")) == 1 and fingerprints.likeness(of("x"), of("x")) == 1
+    assert len(of("short")) == 1 and fingerprints.likeness(of("x"), of("x")) == 1
 
 
 def test_many_rows_of_one_id(spark):
