@@ -131,6 +131,13 @@ def task_words(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.transform(parts, F.lower)), F.array(*map(F.lit, STOP_TOKENS)))
 
 
+def folded_words(text: Column) -> Column:
+    """Lower-case words of two letters or digits and more, names split, without a plural's s if they are long; with repeats."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)")), lambda w: F.length(w) > 1)
+    low = F.transform(words, F.lower)
+    return F.transform(low, lambda w: F.when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
 

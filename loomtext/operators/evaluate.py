@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .tables import stored
 
 
@@ -169,3 +170,25 @@ def audited(cases: DataFrame, labels: DataFrame, fair: str) -> DataFrame:
     if bad:
         raise ValueError(f"labels do not cover the cases exactly once: {sorted(str(r['id']) for r in bad)}")
     return cases.join(n.where(F.col("label") == fair).select("id"), "id")
+
+
+# Fixed value: a file's line in a map.
+MAP_LINE = r"^(\S[^|]*?) \| \d+ LOC(?: \|.*)?$"
+
+
+def ranked_paths(outputs: DataFrame, maps: bool = True, depth: int = 20) -> DataFrame:
+    """query_id, path, rank: the first distinct paths of each output (query_id, output, root). maps: of map lines only, else every line is a path. Paths are made relative to the root and normal."""
+    line = F.transform(F.split("output", "\n"), lambda x: F.regexp_extract(x, MAP_LINE, 1) if maps else T.normal_space(x))
+    inside = lambda p: F.when(p.startswith(F.concat("root", F.lit("/"))), F.substring(p, F.length("root") + 2, F.length(p))).otherwise(p)
+    paths = F.array_distinct(F.transform(F.filter(line, lambda p: p != ""), lambda p: T.normal_path(inside(F.translate(p, "\\", "/")))))
+    return outputs.select("query_id", F.posexplode(F.slice(paths, 1, depth)).alias("rank", "path")).select("query_id", "path", (F.col("rank") + 1).alias("rank"))
+
+
+def name_sets(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """kind, both, ours_only, theirs_only, precision, recall of two sets of definitions (path, kind, name)."""
+    key = ["path", "kind", "name"]
+    rows = ours.select(*key).distinct().withColumn("a", F.lit(1)).join(theirs.select(*key).distinct().withColumn("b", F.lit(1)), key, "full")
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    sums = rows.groupBy("kind").agg(n(F.col("a").isNotNull() & F.col("b").isNotNull(), "both"), n(F.col("b").isNull(), "ours_only"), n(F.col("a").isNull(), "theirs_only"))
+    part = lambda other: F.round(F.try_divide("both", F.col("both") + F.col(other)), 6)
+    return sums.select("*", part("ours_only").alias("precision"), part("theirs_only").alias("recall"))

@@ -157,3 +157,42 @@ def pack_skip(ranked: DataFrame, by: str, budget: int, stop: bool = False, chunk
         if not more:
             return out
         state = spark.createDataFrame([tuple(r) for r in more], f"{by} {kind}, left long, at long, n long")
+
+
+def areas(files: DataFrame, queries: DataFrame, most: int = 10, share: float = 2.0) -> DataFrame:
+    """query_id, doc_id, score (6 digits): files of a query's `most` best directories, by their own words and a share of their directory's score.
+
+    A directory is the sum of its files' distinct words; directories, and then
+    the files of the chosen ones, are scored like documents, the files with their
+    path three times and among themselves. files: doc_id, path, text. All is
+    filtered to the words that queries ask for, but for lengths.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.folded_words(F.col("query")))).alias("term"))
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST_TERMS else asked
+    once = F.array_distinct(F.concat(T.folded_words(F.col("text")), T.folded_words(F.col("path"))))
+    every = F.concat(T.folded_words(F.col("text")), F.flatten(F.array_repeat(T.folded_words(F.col("path")), 3)))
+    rows = files.select("doc_id", T.parent(F.col("path")).alias("directory"), once.alias("once"), every.alias("every"))
+    rows = stored(rows.select("doc_id", "directory", F.size("once").cast("long").alias("n_once"), F.size("every").cast("long").alias("len"), "every"), "words")
+    term = rows.select("doc_id", "directory", "len", F.explode("every").alias("term")).join(asked, "term").groupBy("query_id", "term", "directory", "doc_id", "len").agg(F.count("*").alias("tf"))
+    term = stored(term, "terms")
+    # Directories: a word counts once for each file.
+    size = rows.groupBy("directory").agg(F.sum("n_once").alias("len"))
+    within = term.groupBy("query_id", "term", "directory").agg(F.count("*").alias("tf")).join(size, "directory")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("area"), "directory"))
+    ranked = _scored(within, size.agg(F.count("*").alias("n"), F.avg("len").alias("mean")), "directory", []).withColumnRenamed("score", "area").withColumn("place", place).where(F.col("place") <= most)
+    best = F.max("area").over(Window.partitionBy("query_id"))
+    chosen = stored(ranked.withColumn("part", share * F.col("area") / F.greatest(best, F.lit(1e-9))).select("query_id", "directory", "part"), "areas")
+    held = rows.select("doc_id", "directory", "len").join(chosen, "directory")
+    among = held.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    own = _scored(term.join(chosen.select("query_id", "directory"), ["query_id", "directory"]), among, "doc_id", ["query_id"])
+    return held.join(own, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)) + F.col("part"), 6).alias("score"))
+
+
+def _scored(terms: DataFrame, sizes: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """query_id, key, score of rows (query_id, term, key, tf, len). sizes: n and mean length of all that is scored, by query or one row."""
+    df = terms.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    rows = terms.join(F.broadcast(df), ["query_id", "term"])  # a row for each query term
+    rows = rows.join(sizes, by) if by else rows.crossJoin(F.broadcast(sizes))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    add = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return rows.groupBy("query_id", key).agg(F.sum(add).alias("score"))

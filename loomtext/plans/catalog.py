@@ -590,6 +590,26 @@ def audit_filter(spark, d):
     return E.audited(cases, labels, "1").select(F.col("id").alias("doc_id"))
 
 
+_FOLD = lambda x: f"list_transform(list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w: length(w) > 1), lambda w: lower(w)), lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END)"
+_BM = lambda n, mean: f"ln(1 + ({n} - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / {mean}))"
+
+
+@query(f"""WITH {FILES}, {QUERY}, q AS MATERIALIZED (SELECT query_id, unnest(list_distinct({_FOLD('query')})) AS term FROM queries),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, {_FOLD('text')} AS t, {_FOLD('path')} AS p FROM files),
+full_len AS MATERIALIZED (SELECT doc_id, dir, len(t) + 3 * len(p) AS len, len(list_distinct(list_concat(t, p))) AS once FROM w),
+terms AS MATERIALIZED (SELECT query_id, term, doc_id, dir, count(*) AS tf FROM (SELECT doc_id, dir, unnest(list_concat(t, p, p, p)) AS term FROM w) JOIN q USING (term) GROUP BY 1, 2, 3, 4),
+dirs AS MATERIALIZED (SELECT dir, sum(once) AS len FROM full_len GROUP BY dir), dterms AS MATERIALIZED (SELECT query_id, term, dir, count(*) AS tf FROM terms GROUP BY 1, 2, 3),
+areas AS MATERIALIZED (SELECT query_id, dir, sum({_BM('(SELECT count(*) FROM dirs)', '(SELECT avg(len) FROM dirs)')}) AS area FROM dterms JOIN (SELECT query_id, term, count(*) AS df FROM dterms GROUP BY 1, 2) USING (query_id, term) JOIN dirs USING (dir) GROUP BY 1, 2),
+best AS MATERIALIZED (SELECT *, max(area) OVER (PARTITION BY query_id) AS top FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY area DESC, dir) AS k FROM areas) WHERE k <= 3),
+held AS MATERIALIZED (SELECT query_id, doc_id, len, 2.0 * area / greatest(top, 1e-9) AS part FROM best JOIN full_len USING (dir)), among AS (SELECT query_id, count(*) AS n, avg(len) AS mean FROM held GROUP BY 1),
+hterms AS MATERIALIZED (SELECT t.query_id, t.term, t.doc_id, t.tf FROM terms t JOIN held h ON h.query_id = t.query_id AND h.doc_id = t.doc_id),
+own AS (SELECT query_id, doc_id, sum({_BM('n', 'mean')}) AS score FROM hterms JOIN (SELECT query_id, term, count(*) AS df FROM hterms GROUP BY 1, 2) USING (query_id, term) JOIN among USING (query_id) JOIN (SELECT doc_id, len FROM full_len) USING (doc_id) GROUP BY 1, 2)
+SELECT query_id, doc_id, round(coalesce(score, 0) + part, 6) AS score FROM held LEFT JOIN own USING (query_id, doc_id)""")
+def area_bm25(spark, d):
+    """The number of directories is a parameter; here it is low enough to matter."""
+    return R.areas(files(spark, d), corpus.queries(spark, d), 3)
+
+
 CHANGES = ("fix(core): ", "docs: ", "bench: ", "perf!: ", "test(x): ", "")
 
 

@@ -19,7 +19,9 @@ LARGEST = 4 << 20
 EXTENSIONS = ("rs", "py", "java", "kt", "kts", "swift", "cs", "rb", "php", "go", "ts", "tsx", "js", "jsx", "mjs", "cjs", "svelte", "vue", "c", "h", "cc", "cpp", "hpp", "sh", "html", "css", "scss")
 PRUNED = ("node_modules", "bower_components", "__pycache__")
 MARKERS = ("CACHEDIR.TAG", "CMakeCache.txt", "pyvenv.cfg")
-IGNORE_FILES = (".gitignore", ".ignore")
+IGNORE_FILES = (".gitignore", ".ignore", ".loomignore")
+#: Rules that git keeps for a whole tree, and that hold for its root.
+EXCLUDES = ".git/info/exclude"
 
 
 def _listed(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -110,8 +112,9 @@ def files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIO
     rows = rows.where(F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)).isin(*extensions))
     rows = rows.where(~F.col("path").rlike(r"(^|/)\.")).where(~F.col("path").rlike(f"(^|/)({'|'.join(PRUNED)})/"))
     # Ignore files are few and small: each is read once, outer folders first.
-    found = sorted(_named(spark, root, IGNORE_FILES + MARKERS), key=lambda p: (p.count("/"), p))
-    rules = [(p.rpartition("/")[0], line) for p in found if p.rpartition("/")[2] in IGNORE_FILES for line in _text(spark, f"{root}/{p}").splitlines()]
+    named = [p for p in _named(spark, root, (*IGNORE_FILES, *MARKERS, "exclude")) if p.rpartition("/")[2] != "exclude" or p == EXCLUDES]
+    found = sorted((p for p in named if p == EXCLUDES or not p.startswith(".git/")), key=lambda p: (p != EXCLUDES, p.count("/"), p))
+    rules = [("" if p == EXCLUDES else p.rpartition("/")[0], line) for p in found if p == EXCLUDES or p.rpartition("/")[2] in IGNORE_FILES for line in _text(spark, f"{root}/{p}").splitlines()]
     rows = rows.where(~_ignored(rules))
     marked = [(d,) for p in found if p.rpartition("/")[2] in MARKERS and (d := p.rpartition("/")[0])]
     marked = spark.createDataFrame(marked, "directory string").distinct()

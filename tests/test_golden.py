@@ -153,3 +153,16 @@ def test_percentiles_are_elements(spark):
     df = spark.createDataFrame([(float(v),) for v in (5, 1, 4, 1, 3, 9, 2, 6)], "v double")
     assert [E.nearest_rank(df, "v", s).first()["value_at"] for s in (0.0, 0.5, 0.95, 1.0)] == [1.0, 4.0, 9.0, 9.0]
     assert E.nearest_rank(df.limit(0), "v", 0.5).count() == 0
+
+
+def test_paths_of_outputs(spark):
+    out = "src/a.rs | 3 LOC\n  defs: fn x\n./src/b.rs | 4 LOC | fn y\n/top/src/a.rs | 3 LOC\nno map line\nlib/../c d.py | 1 LOC\n"
+    df = spark.createDataFrame([(1, out, "/top")], "query_id long, output string, root string")
+    assert [r["path"] for r in E.ranked_paths(df).orderBy("rank").collect()] == ["src/a.rs", "src/b.rs", "c d.py"]
+    assert [r["path"] for r in E.ranked_paths(df.withColumn("output", F.lit(" x/y.rs \n\nz.py\nx/./y.rs")), maps=False, depth=2).orderBy("rank").collect()] == ["x/y.rs", "z.py"]
+
+
+def test_sets_of_definitions(spark):
+    rows = lambda *x: spark.createDataFrame([("a.c", *r) for r in x], "path string, kind string, name string")
+    got = {r["kind"]: tuple(r)[1:] for r in E.name_sets(rows(("fn", "x"), ("fn", "y"), ("fn", "y")), rows(("fn", "x"), ("fn", "z"), ("struct", "s"))).collect()}
+    assert got == {"fn": (1, 1, 1, 0.5, 0.5), "struct": (0, 0, 1, None, 0.0)}

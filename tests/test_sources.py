@@ -61,7 +61,7 @@ def test_ignore_patterns(pattern, yes, no):
 def test_tree_and_features(spark, tmp_path):
     root = tmp_path / "tree"
     for name, text in {
-        "src/main.rs": "fn main() {}\n", "src/a.py": "def a(): pass", "src/.hidden.py": "x", "node_modules/m.js": "x", "env/pyvenv.cfg": "", "env/lib/e.py": "x", "log/x.py": "x", "log/keep.py": "def keep(): pass\n", ".gitignore": "log/*\n!log/keep.py\n", "README.md": "# T", "big.py": "#" * 5000,
+        "src/main.rs": "fn main() {}\n", "src/a.py": "def a(): pass", "src/.hidden.py": "x", "node_modules/m.js": "x", "env/pyvenv.cfg": "", "env/lib/e.py": "x", "log/x.py": "x", "log/keep.py": "def keep(): pass\n", ".gitignore": "log/*\n!log/keep.py\n", ".git/info/exclude": "secret.py\n", "src/secret.py": "x", ".loomignore": "gen/\n", "gen/g.py": "x", "README.md": "# T", "big.py": "#" * 5000,
     }.items():
         p = root / name
         p.parent.mkdir(parents=True, exist_ok=True)
