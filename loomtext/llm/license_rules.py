@@ -1,6 +1,7 @@
 """Signature rules for licence scans: ``label | priority | confidence | keyword | regex``, one a line.
 
-Texts are lower-cased (A-Z) before they are matched. A rule's regex is only
+Texts are lower-cased (A-Z) and their white space is single blanks before they are
+matched. The last rules are the sentences of notices and file headers. A rule's regex is only
 tried on texts in which its keyword stands, so a keyword is a literal that every
 match of the regex contains. Of overlapping detections the one
 with the higher priority, then the longer, then the earlier rule stays.
@@ -232,4 +233,34 @@ research-only | 40 | .8 | research purposes only | \bfor research purposes only\
 licence-link | 15 | .5 | /licen | https?://[^\s"'<>]+/licen[cs]es?\b(?:\.(?:txt|md|html))?
 licence-notice | 10 | .5 | see the licen | \bsee the licen[cs]e file\b
 licence-notice | 10 | .5 | see licen | \bsee licen[cs]e(?:\.txt|\.md)?\b
+apache-2.0 | 95 | 1.0 | you may not use this file except in compliance with the license | licensed under the apache license, version 2\.0 \(the "license"\);? you may not use this file except in compliance with the license
+apache-2.0 | 87 | .95 | distributed under the license is distributed on an "as is" basis | unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis
+gpl-2.0-or-later | 96 | 1.0 | either version 2 of the license | this (?:program|file|software) is free software[;:] you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[;,] either version 2 of the license, or \(?at your option\)? any later version
+gpl-3.0-or-later | 96 | 1.0 | either version 3 of the license | this (?:program|file|software) is free software[;:] you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[;,] either version 3 of the license, or \(?at your option\)? any later version
+lgpl-2.1-or-later | 96 | 1.0 | either version 2.1 of the license | this (?:library|program|file) is free software[;:] you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation[;,] either version 2\.1 of the license, or \(?at your option\)? any later version
+lgpl-3.0-or-later | 96 | 1.0 | either version 3 of the license | this (?:library|program|file) is free software[;:] you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation[;,] either version 3 of the license, or \(?at your option\)? any later version
+agpl-3.0-or-later | 96 | 1.0 | either version 3 of the license | this (?:program|file|software) is free software[;:] you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation[;,] either version 3 of the license, or \(?at your option\)? any later version
+gnu-gpl | 62 | .9 | without even the implied warranty of merchantability | without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose
+gnu-gpl | 62 | .9 | you should have received a copy of the gnu | you should have received a copy of the gnu (?:lesser |affero |library )?general public license along with this (?:program|library|file)
+mpl-2.0 | 95 | 1.0 | this source code form is subject to the terms of the mozilla public license | this source code form is subject to the terms of the mozilla public license, v\. ?2\.0
+bsd | 72 | .9 | redistributions of source code must retain the above copyright notice | redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+bsd | 72 | .9 | redistributions in binary form must reproduce the above copyright notice | redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+mit | 89 | .98 | this permission notice shall be included in all copies | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+isc | 88 | .95 | this permission notice appear in all copies | provided that the above copyright notice and this permission notice appear in all copies
+boost-1.0 | 95 | 1.0 | the software and accompanying documentation covered by this license | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+zlib | 88 | .95 | altered source versions must be plainly marked | altered source versions must be plainly marked as such, and must not be misrepresented as being the original software
+unlicense | 91 | .98 | anyone is free to copy, modify, publish, use, compile, sell, or distribute | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+ofl-1.1 | 93 | 1.0 | this font software is licensed under the sil open font license | this font software is licensed under the sil open font license(?:, version 1\.1)?
+epl-1.0 | 92 | .98 | the accompanying materials are made available under the terms of the eclipse public license | the accompanying materials are made available under the terms of the eclipse public license v(?:ersion )?1\.0
+epl-2.0 | 92 | .98 | the accompanying materials are made available under the terms of the eclipse public license | the accompanying materials are made available under the terms of the eclipse public license (?:v(?:ersion )?)?2\.0
+cddl | 75 | .95 | subject to the terms of the common development and distribution license | the contents of this file are subject to the terms of the common development and distribution license
+cc-by | 74 | .9 | under a creative commons attribution | \b(?:is|are) licen[cs]ed under a creative commons attribution (?:[1-4]\.[05] )?(?:international |unported |generic )?licen[cs]e\b
+cc-by-sa | 79 | .95 | under a creative commons attribution-share | \b(?:is|are) licen[cs]ed under a creative commons attribution-share ?alike (?:[1-4]\.[05] )?(?:international |unported |generic )?licen[cs]e\b
+cc-by-nc | 79 | .95 | under a creative commons attribution-non | \b(?:is|are) licen[cs]ed under a creative commons attribution-non-?commercial (?:[1-4]\.[05] )?(?:international |unported |generic )?licen[cs]e\b
+cc0-1.0 | 91 | .98 | waived all copyright and related or neighb | to the extent possible under law, .{1,120}? (?:has|have) waived all copyright and related or neighbou?ring rights
+odbl-1.0 | 90 | .98 | is made available under the open database license | is made available under the open database license(?:: https?://\S+)?
+copyright-notice | 36 | .75 | copyright | \bcopyright (?:\(c\) |© )?(?:19|20)[0-9]{2}(?: ?[-,] ?(?:19|20)[0-9]{2}){1,9}\b
+proprietary | 56 | .9 | no part of this | \bno part of this (?:publication|document|work|book) may be (?:reproduced|copied)\b.{0,160}?\bwithout (?:the )?(?:prior |express )?(?:written )?permission\b
+dual-license | 42 | .75 | at your option | \b(?:mit|apache|bsd|gpl|lgpl|mpl)\b.{0,60}?\bor\b.{0,60}?\b(?:mit|apache|bsd|gpl|lgpl|mpl)\b.{0,40}?\bat your option\b
+spdx-tag | 32 | .75 | spdx-license-identifier | \bspdx-license-identifier: ?\(?[a-z0-9.+-]+(?: (?:or|and|with) [a-z0-9.+-]+){1,9}\)?
 """
