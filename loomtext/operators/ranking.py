@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import postings as P
-from .tables import stored
+from .tables import remove, stored
 
 K1, B = 1.2, 0.75
 #: Query terms up to which their table is broadcast.
@@ -155,6 +155,7 @@ def pack_skip(ranked: DataFrame, by: str, budget: int, stop: bool = False, chunk
         # A query goes on if its chunk was full and nothing ended it.
         more = done.where((F.col("seen") == chunk) & F.col("open")).select(by, "left", "at", (F.col("n") + F.size("taken")).alias("n")).collect()  # a row for each query
         if not more:
+            remove(rows)
             return out
         state = spark.createDataFrame([tuple(r) for r in more], f"{by} {kind}, left long, at long, n long")
 

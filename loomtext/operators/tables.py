@@ -10,10 +10,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,4 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a new table."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, k=id(out): _paths.pop(k, None)), path)
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave and that nothing will read again, not even to make a lost part anew."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
