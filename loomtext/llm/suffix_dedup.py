@@ -50,7 +50,7 @@ GRAM = 100
 PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
 MOST_CONTEXTS = 4096
 #: Bytes of contexts that are suffix-sorted at once.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 
 
 # Two-stage suffix sorting

@@ -10,6 +10,7 @@ A-Z have been lower-cased: digits, a-z and every byte of a non-ASCII character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    hand_back()
+
+
+def hand_back() -> None:
+    """Returns to the system what a finished task has freed; a worker that waits for its next task holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
