@@ -32,8 +32,10 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g", n
 
 def ship(spark: SparkSession) -> None:
     """Hands this package to the executors once per application, for those that can't import it."""
-    # Rows can be whole documents: small batches bound the memory of both sides.
+    # Rows can be whole documents: small batches, in rows and in bytes, bound what scans, the exchange with Python and Python hold.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
