@@ -138,6 +138,11 @@ def folded_words(text: Column) -> Column:
     return F.transform(low, lambda w: F.when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
 
 
+def baseline_words(text: Column) -> Column:
+    """Lower-cased ASCII words of two letters or digits and more, names split, with repeats."""
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(r"([A-Za-z][a-z]+|[A-Z]+(?![a-z])|[0-9]+)")), lambda w: F.length(w) > 1), F.lower)
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
 

@@ -192,3 +192,13 @@ def name_sets(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     sums = rows.groupBy("kind").agg(n(F.col("a").isNotNull() & F.col("b").isNotNull(), "both"), n(F.col("b").isNull(), "ours_only"), n(F.col("a").isNull(), "theirs_only"))
     part = lambda other: F.round(F.try_divide("both", F.col("both") + F.col(other)), 6)
     return sums.select("*", part("ours_only").alias("precision"), part("theirs_only").alias("recall"))
+
+
+def orientation(answers: DataFrame, cases: DataFrame, by: str, most: int = 5) -> DataFrame:
+    """by, n, recall, dir_hit: means of the share of gold files among the first answers (id, path, place), and of whether one of these is in a directory of a gold file. cases: id, gold, by; those without answers count as 0."""
+    top = answers.where(F.col("place") <= most).groupBy("id").agg(F.collect_set("path").alias("paths"))
+    rows = cases.select("id", "gold", by).join(top, "id", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    homes = lambda x: F.transform(x, T.parent)
+    recall = F.size(F.array_intersect("gold", "paths")) / F.size("gold")
+    hit = F.arrays_overlap(homes("gold"), homes("paths")).cast("double")
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(recall), 6).alias("recall"), F.round(F.avg(hit), 6).alias("dir_hit"))

@@ -16,6 +16,7 @@ from ..operators import postings as P
 from ..operators import ranking as R
 from ..operators import structural as S
 from ..operators.tables import stored
+from ..sources import history as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -633,6 +634,84 @@ def reference_cap(spark, d):
     return G.references(f, G.definers(corpus.symbols(f)), 2, named)
 
 
+@query(f"WITH {FILES} SELECT count(*) AS files, CAST(coalesce(sum(loc), 0) AS BIGINT) AS loc FROM files")
+def corpus_totals(spark, d):
+    return files(spark, d).agg(F.count("*").alias("files"), F.coalesce(F.sum("loc"), F.lit(0).cast("long")).alias("loc"))
+
+
+@query(f"WITH {FILES}, {TREE} SELECT doc_id, starts_with(path, 'tests/') OR contains(path, '/tests/') OR contains(path, '/test/') OR contains(path, '/fixtures/') OR contains(path, '/examples/') AS fixture FROM tree")
+def fixture_like_paths(spark, d):
+    return corpus.tree(spark, d).select("doc_id", T.fixture_like(F.col("path")).alias("fixture"))
+
+
+@query(f"WITH {FILES}, {TREE} SELECT doc_id, contains('/' || lower(path), '/tests/') OR contains('/' || lower(path), '/test/') OR contains(lower(path), '__tests__') OR starts_with(lower(name), 'test_') OR contains(lower(name), '.test.') OR contains(lower(name), '.spec.') OR ends_with(lower(name), '_test.go') AS test FROM tree")
+def case_test_paths(spark, d):
+    return corpus.tree(spark, d).select("doc_id", H.test_path(F.col("path")).alias("test"))
+
+
+@query(f"WITH {CASES} SELECT id, unnest({_WORDS('query')}) AS word FROM cases")
+def task_words(spark, d):
+    return corpus.cases(spark, d).select("id", F.explode(T.task_words(F.col("query"))).alias("word"))
+
+
+@query(f"SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest({_FOLD('text')}) AS word FROM benchmark) GROUP BY 1, 2")
+def folded_words(spark, d):
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(T.folded_words(F.col("text"))).alias("word"))
+    return rows.groupBy("item_id", "word").agg(F.count("*").alias("n"))
+
+
+PREFIXES = ("core: ", "(wip) ", "[ui] api v2: ", "")
+
+
+@query(rf"""WITH {CASES}, p AS (SELECT * EXCLUDE (query), ['core: ', '(wip) ', '[ui] api v2: ', ''][1 + length(id) % 4] || query AS with_prefix FROM cases),
+b AS (SELECT *, regexp_replace(with_prefix, '^(?:[^\s:]+(?: [^\s:]+)?:\s+|\([^)]*\)\s+|\[[^\]]*\]\s*)+', '') AS query FROM p)
+SELECT id, query, CASE WHEN len(list_intersect({_WORDS('query')}, {_WORDS("array_to_string(gold, ' ')")})) > 0 THEN 'lexical' ELSE 'conceptual' END AS kind FROM b WHERE len(regexp_split_to_array(regexp_replace(query, '^\s+|\s+$', '', 'g'), '\s+')) >= 3""")
+def bare_tasks(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.length("id") % 4 + 1).cast("int"))
+    return H.bare_cases(corpus.cases(spark, d).withColumn("query", F.concat(kind, "query"))).select("id", "query", "kind")
+
+
+@query(f"WITH {FILES}, {TREE} SELECT doc_id AS query_id, path, 1 AS rank FROM tree UNION ALL SELECT doc_id, regexp_replace(home, '/[^/]*$', '') || '/x.rs', 2 FROM tree")
+def output_paths(spark, d):
+    """Outputs of four lines: a path below the root, one with a step up, one that is no line of a map, the first again."""
+    home = T.parent(F.col("path"))
+    output = F.concat(F.lit("/root/"), "path", F.lit(" | 12 LOC\n./"), home, F.lit("/../x.rs | 3 LOC | run\n... [some files left out]\n"), "path", F.lit(" | 1 LOC"))
+    return E.ranked_paths(corpus.tree(spark, d).select(F.col("doc_id").alias("query_id"), output.alias("output"), F.lit("/root").alias("root")))
+
+
+@query(f"""WITH {FILES}, {SYMBOLS}, {TREE}, {DEFS}, ours AS (SELECT doc_id, kind, symbol FROM defs), theirs AS (SELECT * FROM ours WHERE doc_id % 3 <> 0 AND length(symbol) % 5 <> 0 UNION SELECT doc_id, 'fn', 'left out' FROM tree),
+n AS (SELECT coalesce(o.kind, t.kind) AS kind, count(o.kind IS NOT NULL AND t.kind IS NOT NULL OR NULL) AS "both", count(t.kind IS NULL OR NULL) AS ours_only, count(o.kind IS NULL OR NULL) AS theirs_only FROM ours o FULL JOIN theirs t ON o.doc_id = t.doc_id AND o.kind = t.kind AND o.symbol = t.symbol GROUP BY 1)
+SELECT *, round("both" / nullif("both" + ours_only, 0), 6) AS precision, round("both" / nullif("both" + theirs_only, 0), 6) AS recall FROM n""")
+def name_sets(spark, d):
+    """Definitions against a reference that lacks some and has one more for each file."""
+    tree = corpus.tree(spark, d)
+    cut = F.col("definition")
+    ours = tree.select("doc_id", "path", F.explode("definitions").alias("definition")).select("doc_id", "path", F.substring_index(cut, " ", 1).alias("kind"), F.substring_index(cut, " ", -1).alias("name"))
+    theirs = ours.where((F.col("doc_id") % 3 != 0) & (F.length("name") % 5 != 0)).union(tree.select("doc_id", "path", F.lit("fn").alias("kind"), F.lit("left out").alias("name")))
+    return E.name_sets(ours, theirs)
+
+
+_PLAIN = lambda x: f"list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Za-z][a-z]+|[A-Z]+|[0-9]+'), lambda w: length(w) > 1), lambda w: lower(w))"
+
+
+@query(f"""WITH {FILES}, {QUERY}, q AS MATERIALIZED (SELECT query_id, unnest(list_distinct({_PLAIN('query')})) AS term FROM queries),
+w AS MATERIALIZED (SELECT doc_id, path, list_concat(t, p, p, p) AS every FROM (SELECT doc_id, path, {_PLAIN('text')} AS t, {_PLAIN('path')} AS p FROM files)),
+terms AS MATERIALIZED (SELECT query_id, term, doc_id, path, len, count(*) AS tf FROM (SELECT doc_id, path, len(every) AS len, unnest(every) AS term FROM w) JOIN q USING (term) GROUP BY ALL),
+scores AS (SELECT query_id, doc_id, path, round(sum({_BM('(SELECT count(*) FROM w)', '(SELECT avg(len(every)) FROM w)')}), 6) AS score FROM terms JOIN (SELECT query_id, term, count(*) AS df FROM terms GROUP BY 1, 2) USING (query_id, term) GROUP BY 1, 2, 3)
+SELECT query_id, doc_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, doc_id) AS place FROM scores) WHERE place <= 50""")
+def plain_bm25(spark, d):
+    return R.plain_bm25(files(spark, d), corpus.queries(spark, d))
+
+
+@query(f"""WITH {CASES}, g AS (SELECT id, repo, unnest(gold) AS path FROM cases), n AS (SELECT c.id, o.path, count(*) AS n FROM cases c JOIN g o ON o.repo = c.repo AND o.id <> c.id GROUP BY 1, 2),
+top AS (SELECT id, list(path) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, path) AS place FROM n) WHERE place <= 5 GROUP BY id),
+each AS (SELECT repo, len(list_intersect(gold, coalesce(paths, []))) / len(gold) AS recall, list_has_any(list_transform(gold, lambda p: regexp_extract(p, '^(.*)/[^/]*$', 1)), list_transform(coalesce(paths, []), lambda p: regexp_extract(p, '^(.*)/[^/]*$', 1))) AS hit FROM cases LEFT JOIN top USING (id))
+SELECT repo, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(CAST(hit AS DOUBLE)), 6) AS dir_hit FROM each GROUP BY repo""")
+def orientation(spark, d):
+    cases = corpus.cases(spark, d)
+    return E.orientation(E.hot_files(cases, 5), cases, "repo")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rank all documents for a batch of queries, pack what fits, render it."""
     f = files(spark, sf_dir)
