@@ -128,16 +128,110 @@ def hot_files(cases: DataFrame, depth: int = 20) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= depth)
 
 
+#: Vectors of a block, and queries of one: a pair's scores are one product of two matrices, of 32 MB at most.
+VECTORS, QUERIES = 4096, 1024
+#: Blocks of queries whose best files a task holds at a time.
+HELD = 256
+#: Scores as whole millionths: not a number, none (a vector is null, or of another length), no file.
+NAN, NONE, ABSENT = 3_000_000, -3_000_000, -4_000_000
+
+
+def _blocks(most: int):
+    """Rows (id, list of doubles) as rows (dim, ids, vectors): matrices of up to `most` unit vectors of one length, in order of id. Null ones, and those with null elements, have the length 0."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kept: dict[int, list] = {}
+
+        def block(dim, k):
+            rows = sorted(kept[dim][:k], key=lambda r: r[0])
+            kept[dim] = kept[dim][k:]
+            v = np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), dim)
+            with np.errstate(all="ignore"):
+                v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array([r[0] for r in rows], dtype="int64").tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
+
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
+                x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False)
+                dim = 0 if x is None else len(x)
+                kept.setdefault(dim, []).append((i, () if x is None else x))
+                if len(kept[dim]) == most:
+                    yield block(dim, most)
+        for dim in kept:
+            if kept[dim]:
+                yield block(dim, most)
+
+    return run
+
+
+def _best(most: int):
+    """Pairs of a block of vectors and one of queries (k tells which) as rows (query_id, file, score): each query's best files of all that the task sees."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def told(ids, score, file):
+            at = score > ABSENT
+            s = score[at]
+            value = np.where(s == NAN, np.nan, s / 1e6)
+            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, at.sum(axis=1))), "file": pa.array(file[at]), "score": pa.array(value, mask=s == NONE)})
+
+        held: dict[int, tuple] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                ids, files = np.frombuffer(r["query_ids"], dtype="int64"), np.frombuffer(r["ids"], dtype="int64")
+                first = np.flatnonzero(np.r_[True, files[1:] != files[:-1]])
+                files = files[first]
+                if r["dim"] and r["dim"] == r["query_dim"]:
+                    q, v = (np.frombuffer(r[c], dtype="float64").reshape(-1, r["dim"]) for c in ("queries", "vectors"))
+                    with np.errstate(all="ignore"):
+                        x = np.maximum.reduceat(q @ v.T, first, axis=1) * 1e6
+                        x = np.where(np.isnan(x), NAN, np.trunc(x + np.copysign(0.5, x))).astype("int64")
+                else:
+                    x = np.full((len(ids), len(files)), NONE, dtype="int64")
+                # One number holds score and place by file, so that one selection respects both.
+                n = len(files)
+                key = x * n + np.arange(n - 1, -1, -1)
+                if n > most:
+                    key = np.partition(key, n - most, axis=1)[:, n - most :]
+                score, file = key // n, files[n - 1 - key % n]
+                if r["k"] in held:
+                    _, s, f = held.pop(r["k"])
+                    score, file = np.hstack([score, s]), np.hstack([file, f])
+                    # A file that both have keeps its better score.
+                    by = np.lexsort((-score, file), axis=1)
+                    score, file = np.take_along_axis(score, by, 1), np.take_along_axis(file, by, 1)
+                    score[:, 1:][file[:, 1:] == file[:, :-1]] = ABSENT
+                    by = np.lexsort((file, -score), axis=1)[:, :most]
+                    score, file = np.take_along_axis(score, by, 1), np.take_along_axis(file, by, 1)
+                held[r["k"]] = ids, score, file
+                if len(held) > HELD:
+                    yield told(*held.pop(next(iter(held))))
+        for x in held.values():
+            yield told(*x)
+
+    return run
+
+
 def best_chunks(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """query_id, file, score (6 digits), place: a file's score is the highest cosine of its chunks. vectors: file, embedding; queries: query_id, embedding, a stated set that is broadcast if it is small."""
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
-    wide = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    a, b = wide(vectors).select("file", unit(F.col("embedding")).alias("v")), wide(queries).select("query_id", unit(F.col("embedding")).alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # Every stated query against all chunks: the queries' block stands beside each chunk.
-    block = b.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-    rows = a.crossJoin(F.broadcast(block)).select("file", "v", F.explode("block").alias("x")).select("file", F.col("x.query_id").alias("query_id"), "v", F.col("x.q").alias("q"))
-    best = rows.groupBy("query_id", "file").agg(F.round(F.max(dot), 6).alias("score"))
+    """query_id, file, score (6 digits), place: a file's score is the highest cosine of its chunks. vectors: file, embedding; queries: query_id, embedding, a stated set (ids are long).
+
+    Blocks of queries stand beside blocks of vectors; a task keeps the best
+    `most` files of each query of what it sees, and only these are moved. A file
+    among a query's best is among them wherever its best chunk is, so none is
+    lost. A null vector, or one of another length, has no score; a vector of
+    zeros has NaN, above all others, as in SQL.
+    """
+    wide = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = "dim int, ids binary, vectors binary"
+    a, b = wide(vectors, "file").mapInArrow(_blocks(VECTORS), schema), wide(queries, "query_id").mapInArrow(_blocks(QUERIES), schema)
+    b = stored(b.select(F.monotonically_increasing_id().alias("k"), F.col("dim").alias("query_dim"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "blocks")
+    pairs = a.repartition(3 * max(8, vectors.sparkSession.sparkContext.defaultParallelism)).crossJoin(F.broadcast(b))
+    best = pairs.mapInArrow(_best(most), "query_id long, file long, score double").groupBy("query_id", "file").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "file"))
     return best.withColumn("place", place).where(F.col("place") <= most)
 
