@@ -37,7 +37,11 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def metrics(ranked: DataFrame, gold: DataFrame, depth: int = 20) -> DataFrame:
+#: Ranks that metrics look at.
+DEPTH = 20
+
+
+def metrics(ranked: DataFrame, gold: DataFrame, depth: int = DEPTH) -> DataFrame:
     """query_id, ndcg10, r1, r5, r10, mrr (6 digits) of every query with gold; one without a hit has zeros."""
     want = gold.groupBy("query_id").agg(F.count("*").alias("n"))
     hit = ranked.where(F.col("rank") <= depth).join(gold, ["query_id", "doc_id"])

@@ -37,3 +37,57 @@ def test_best_chunks_match_brute_force_in_small_blocks(spark, monkeypatch):
         want |= {(q, k + 1): (f, "NaN" if best[f] != best[f] else best[f]) for k, f in enumerate(top)}
     got = E.best_chunks(spark.createDataFrame(vectors, "file long, embedding array<float>"), spark.createDataFrame(queries, "query_id long, embedding array<float>"), 6).collect()
     assert {(r["query_id"], r["place"]): (r["file"], "NaN" if r["score"] != r["score"] else r["score"]) for r in got} == want
+
+
+def corpus_of(spark, n=40):
+    from loomtext import corpus
+
+    rng = random.Random(9)
+    words = ["alpha", "alphas", "beta", "gammaDelta", "epsilon_x", "zeta", "the", "of"]
+    text = lambda i: "\n".join(f"{rng.choice(words)} {rng.choice(words)} own{i // 2}_{j} use{rng.randrange(n)}_0 own{rng.randrange(n // 2)}_0" for j in range(rng.randrange(3)))
+    rows = [(i, f"src/{'alpha' if i % 7 == 0 else 'x'}/d{i}.rs", text(i), rng.randrange(5), i % 5 == 0, rng.randrange(1, 50)) for i in range(n)]
+    files = corpus.with_symbols(spark.createDataFrame(rows, "doc_id long, path string, text string, loc long, entrypoint boolean, tokens long"))
+    asked = [(q, " ".join(rng.sample(words, 3)), [f"src/x/d{q}.rs"], ["own3_0", "ALPHA", f"own{q}_0"], [f"src/x/d{q + 1}.rs"]) for q in range(6)] + [(9, "", [], ["beta"], [])]
+    contexts = spark.createDataFrame(asked, "query_id long, query string, mentioned_paths array<string>, mentioned_symbols array<string>, open_paths array<string>")
+    return files.localCheckpoint(), contexts
+
+
+def test_scores_need_no_exchange_and_match_the_joined_form(spark, monkeypatch):
+    from loomtext.operators import postings as P
+    from loomtext.operators import ranking as R
+
+    monkeypatch.setattr(R, "CELLS", 20)
+    files, contexts = corpus_of(spark)
+    queries = contexts.select("query_id", "query")
+    for fields in (False, True):
+        got = R.bm25(files, queries, fields)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = R.bm25_joined(files, P.query_terms(queries), fields)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert R.bm25(files, queries.limit(0)).count() == 0 and R.bm25(files.limit(0), queries).count() == 0
+
+
+def test_ranking_matches_joins_and_its_best_are_those_of_the_whole(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import graph as G
+    from loomtext.operators import ranking as R
+
+    monkeypatch.setattr(R, "CELLS", 20)
+    files, contexts = corpus_of(spark)
+    symbols = files.select("doc_id", F.explode("symbols").alias("symbol"))
+    callers = G.unique_callers(G.references(files, G.definers(symbols)))
+    named = contexts.select(F.explode("mentioned_symbols").alias("symbol"))
+    some = {r["symbol"] for r in named.collect()}
+    assert {tuple(r) for r in G.callers_of(files, symbols, named).collect()} == {tuple(r) for r in callers.collect() if r["symbol"] in some}
+    joined = R.bm25(files, contexts.select("query_id", "query")).join(R.tiers(files, contexts, callers), ["query_id", "doc_id"], "full")
+    joined = joined.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("tier", F.lit(0)).alias("tier"))
+    columns = ["query_id", "doc_id", "tier", "score", "rank"]
+    want = R.total_order(joined.join(files, "doc_id")).select(*columns)
+    r = R.Ranking(files, contexts.select("query_id", "query"), contexts)
+    rows = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, r.ranked().select(*columns).collect())) == rows
+    assert sorted(map(tuple, r.ranked(3).select(*columns).collect())) == [x for x in rows if x[4] <= 3]
+    firsts = want.groupBy("query_id", "tier").agg(F.count("*"), F.min("rank").cast("long"))
+    assert sorted(map(tuple, r.tier_counts().collect())) == sorted(map(tuple, firsts.collect()))
+    assert {x[2] for x in rows} >= {0, 1, 3, 4}
