@@ -103,3 +103,25 @@ def test_plain_bm25_stores_counts_and_no_words(spark, monkeypatch):
     assert rows and all("every" not in c for c in names)
     best = {(r["query_id"], r["doc_id"]): r["score"] for r in rows if r["place"] <= 4}
     assert {(r["query_id"], r["doc_id"]): r["score"] for r in R.plain_bm25(files, contexts.select("query_id", "query"), 4).collect()} == best
+
+
+def test_structural_scores_join_no_pairs_and_match_the_joined_form(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import structural as S
+
+    files, contexts = corpus_of(spark)
+    none = F.array().cast("array<string>")
+    facts = files.select(F.lit("t").alias("tree"), "doc_id", "path", "symbols", none.alias("imports"), F.array(F.lit("own3_0")).alias("references"), F.col("tokens").cast("long").alias("tokens"), F.lit(False).alias("changed"), "entrypoint")
+    asked = contexts.select(F.lit("t").alias("tree"), F.col("query_id").cast("string").alias("query_id"), "query", "mentioned_paths", "mentioned_symbols", "open_paths", F.lit(9).cast("long").alias("budget"))
+    norm = S.normal_facts(facts).localCheckpoint()
+    idf = S.frequencies(norm).localCheckpoint()
+    df = S.base_scores(norm, asked, idf)
+    # No join of pairs: the only exchanges of signals are by file.
+    last = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "Join" not in last
+    rows = lambda d: sorted((r["query_id"], r["doc_id"], round(r["score"], 6)) for r in d.collect())
+    got = rows(df)
+    assert len(got) == 40 * 7
+    monkeypatch.setattr(S, "MOST_ASKED", 0)
+    assert rows(S.base_scores(norm, asked, idf)) == got
