@@ -6,15 +6,86 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words as W
+from .ranking import _lists, _spread
 from .tables import stored
 
-
+#: Passages up to which they go to every task.
+MOST_PASSAGES = 100_000
+#: First bytes of a passage by which places are found, bytes of text looked at in one step, and the base of their hash.
+WINDOW, BLOCK, BASE = 16, 1 << 18, 0x9E3779B97F4A7C15
 #: Words of a passage, between its first and its last, by which documents that may hold it are found.
 RUN = 4
 
 
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """query_id, doc_id of the documents (doc_id, text) whose text contains a passage (query_id, passage).
+    """query_id, doc_id of the documents (doc_id, text) whose text contains a passage (query_id, passage; a stated set).
+
+    One pass over the texts: a rolling hash of their bytes tells where a passage
+    may begin, and the bytes there decide. Only what is found is moved.
+    """
+    rows = passages.where("passage is not null").select("query_id", "passage").limit(MOST_PASSAGES + 1).collect()  # a row for each query
+    if len(rows) > MOST_PASSAGES:
+        return holders_joined(docs, passages)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    run = _holding([r["query_id"] for r in rows], [r["passage"].encode() for r in rows])
+    return docs.select("doc_id", "text").mapInArrow(run, f"query_id {kind(passages, 'query_id')}, doc_id {kind(docs, 'doc_id')}").distinct()
+
+
+def _holding(ids: list, passages: list[bytes]):
+    def powers(base):
+        import numpy as np
+
+        return np.multiply.accumulate(np.r_[np.uint64(1), np.full(BLOCK + WINDOW, base, dtype="uint64")])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        up, down = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+
+        def hashes(data, size):
+            """Of every so many bytes in a row."""
+            total = np.zeros(len(data) + 1, dtype="uint64")
+            np.cumsum(data * up[: len(data)], out=total[1:])
+            return (total[size:] - total[: len(total) - size]) * down[: len(total) - size]
+
+        long = np.array([len(x) for x in passages], dtype="int64")
+        sizes = []
+        for size in sorted({min(len(x), WINDOW) for x in passages}):
+            own = [k for k, x in enumerate(passages) if min(len(x), WINDOW) == size]
+            key = [hashes(np.frombuffer(passages[k][:size], dtype="uint8"), size)[0] for k in own]
+            keys, at = np.unique(np.array(key, dtype="uint64"), return_inverse=True)
+            seen = np.zeros(1 << 16, dtype=bool)
+            seen[(keys >> np.uint64(48)).astype("int64")] = True
+            sizes.append((size, keys, seen, _lists(list(zip(at.tolist(), own)), len(keys))))
+        for b in batches:
+            data, rows = W.raw(b.column(1))
+            text, pairs = data.tobytes(), {}
+            for size, keys, seen, lists in sizes:
+                if not size:
+                    pairs |= {(r, p): rows[r] for r in range(b.num_rows) for p in lists[1].tolist()}
+                for start in range(0, len(data) - size + 1 if size else 0, BLOCK):
+                    h = hashes(data[start : start + BLOCK + size - 1], size)
+                    at = np.flatnonzero(seen[(h >> np.uint64(48)).astype("int64")])
+                    k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+                    at, k = at[keys[k] == h[at]], k[keys[k] == h[at]]
+                    each, p = _spread(lists, k)
+                    at = start + at[each]
+                    r = np.searchsorted(rows, at, "right") - 1
+                    fits = at + long[p] <= rows[r + 1]
+                    _, first = np.unique(r[fits] * len(passages) + p[fits], return_index=True)
+                    for x in np.flatnonzero(fits)[first].tolist():
+                        pairs.setdefault((int(r[x]), int(p[x])), int(at[x]))
+            found = [(r, p) for (r, p), at in pairs.items() if text.find(passages[p], at, rows[r + 1]) >= 0]
+            doc, query = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids).take(query), "doc_id": b.column(0).take(doc)})
+
+    return run
+
+
+def holders_joined(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """holders for passages too many to go to every task.
 
     A document that holds a passage also holds its inner words, whole and in a
     row: an equi-join on a run of them finds candidates, which are then compared.

@@ -125,3 +125,24 @@ def test_structural_scores_join_no_pairs_and_match_the_joined_form(spark, monkey
     assert len(got) == 40 * 7
     monkeypatch.setattr(S, "MOST_ASKED", 0)
     assert rows(S.base_scores(norm, asked, idf)) == got
+
+
+def test_passages_are_found_in_one_pass_as_by_the_join(spark, monkeypatch):
+    """Borders of blocks and rows, passages shorter than a window, equal beginnings, runs of one letter, repeated ids, nulls."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(E, "BLOCK", 16)
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("ab \nñ") for _ in range(n))
+    texts = ["", "a", "a" * 200, *(some(rng.randrange(120)) for _ in range(60))]
+    cuts = [t[i : i + rng.randrange(1, 60)] for t in texts[2:40] for i in [rng.randrange(max(1, len(t)))]]
+    passages = [*cuts, texts[5] + texts[6], "a" * 40, "a" * 40 + "b", "", "ñ", "Z"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "again " + texts[7]), (99, None)], "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    asked = spark.createDataFrame([(i % 30, p) for i, p in enumerate(passages)] + [(31, None)], "query_id long, passage string")
+    want = {(i % 30, d) for i, p in enumerate(passages) for d, t in [*enumerate(texts), (3, "again " + texts[7]), (99, "")] if p in t}
+    df = E.holders(docs, asked)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert E.holders(docs, asked.limit(0)).count() == 0 and E.holders(docs.limit(0), asked).count() == 0
+    monkeypatch.setattr(E, "MOST_PASSAGES", 3)
+    assert {tuple(r) for r in E.holders(docs, asked).collect()} == want
